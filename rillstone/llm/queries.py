@@ -6,7 +6,8 @@ from .language_id import op10_language_id
 from .packing import op2_packing
 from .quality import op3_quality
 from .sentencepiece_codec import op6_sentencepiece
+from .simhash import op4_simhash
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op6_sentencepiece, op7_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_simhash, op6_sentencepiece, op7_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {}
