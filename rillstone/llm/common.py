@@ -132,6 +132,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote; call it when what was derived from them is itself written."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs: its cleaner acts when the driver has collected unused references."""
     import gc

@@ -133,8 +133,8 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, share: float = SHARE, mos
     return filters
 
 
-def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns of docs with lang_pred and score added."""
+def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str = "text", replace_text: bool = False) -> DataFrame:
+    """The given columns of docs with lang_pred and score added. replace_text: the text is among the columns."""
     schema = docs.select(*columns, text_col).schema
     names = [c for c in columns if c != text_col]
     rows = docs.select(*names, F.col(text_col).alias("__text"))
@@ -172,10 +172,11 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
             some = n[:, 0] > 0
             best = np.where(some, fixed.argmax(axis=1), k)
             score = np.where(some & (total > 0), fixed.max(axis=1) / np.maximum(total, 1e-300), 0.0)
-        cols = [batch.column(c) for c in names]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(langs[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        kept = [*names, *([text_col] if replace_text else [])]
+        cols = [batch.column("__text" if c == text_col else c) for c in kept]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(langs[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in names)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*(schema[c] for c in names), *([schema[text_col]] if replace_text else [])])
     return map_text(rows, "__text", one, f"{fields}, lang_pred string, score double", setup)
 
 

@@ -10,7 +10,8 @@ from .pii import op9_pii
 from .quality import op3_quality
 from .sentencepiece_codec import op6_sentencepiece
 from .simhash import op4_simhash
+from .substring_dedup import op5_substring_dedup
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_quality, op4_simhash, op6_sentencepiece, op7_token_counts, op8_embedding_dedup, op9_pii, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_quality, op4_simhash, op5_substring_dedup, op6_sentencepiece, op7_token_counts, op8_embedding_dedup, op9_pii, op10_language_id)}
 ORACLES: dict[str, str] = {}
