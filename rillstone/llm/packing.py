@@ -292,7 +292,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return rows.join(bases, ["rest", "part"]).mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.join(bases.hint("merge"), ["rest", "part"]).mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
