@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = stored(small.distinct(), "components")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
         if now == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
         seen = now
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
