@@ -10,15 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import PlanError
+from ..plans.prefix import BUCKETS, Running, running
 
 PERIODS = ("day", "week", "month", "year")
-#: Pieces that the arrival order is cut into for running values over a whole stream.
-BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -82,23 +79,8 @@ def end_of(start: Column, window: Window) -> Column:
 
 
 def running_max(df: DataFrame, value: Column, seq: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with the greatest value up to each row in order of seq.
-
-    The order is cut into buckets; the greatest value of all earlier buckets (one row a bucket, so it can be broadcast) is
-    combined with a window inside the bucket. No task sees the whole stream.
-    """
-    kind = df.schema[seq].dataType
-    if isinstance(kind, T.LongType | T.IntegerType | T.ShortType | T.ByteType):
-        low, high = df.agg(F.min(seq), F.max(seq)).first()
-        if low is not None and high > low:
-            width = (high - low) // buckets + 1
-            work = df.withColumn("__bucket", F.floor((F.col(seq).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int")).withColumn("__value", value)
-            tops = work.groupBy("__bucket").agg(F.max("__value").alias("__top"))
-            before = tops.select("__bucket", F.max("__top").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-            own = W.partitionBy("__bucket").orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
-            work = work.join(F.broadcast(before), "__bucket", "left").withColumn(name, F.greatest("__before", F.max("__value").over(own)))
-            return work.drop("__bucket", "__value", "__before")
-    return df.withColumn(name, F.max(value).over(W.orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    """df with the greatest value up to each row in order of seq."""
+    return running(df, seq, [Running(name, "max", value)], buckets)
 
 
 def drop_late(df: DataFrame, time: Column, mark: Column | None, seq: str) -> DataFrame:

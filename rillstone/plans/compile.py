@@ -23,6 +23,7 @@ from ..functions.registry import Function, lookup
 from ..functions.series_ref import SeriesWindow
 from ..functions.stepping import step_of, zeros_for
 from ..types import FLOATS, INTS, NUMERIC, SPARK, literal_type, name_of
+from .prefix import Running, running
 
 TIME = "@time"
 
@@ -111,6 +112,7 @@ class Compiler:
         self.fields, self.context, self.series, self.streaming = list(fields), context, series, streaming
         self.helpers: dict[int, dict[str, Column]] = {}
         self.folds: dict[int, list[Fold]] = {}
+        self.whole: dict[int, list[Running]] = {}  # aggregates over a whole stream
         self.aggregates: dict[str, Column] = {}
         self.needs_index = False
         self._n = 0
@@ -214,6 +216,10 @@ class Compiler:
             self.folds.setdefault(level, []).append(Fold(name, f.namespace, f.name, zeros_for(f, types), [cast(a, t) for a, t in zip(args, types, strict=True)], f.return_type(types)))
         else:
             w = self.series.window()
+            if f.kind == "aggregate" and not self.series.keys:
+                arg = cast(args[0], types[0])
+                self.whole.setdefault(level, []).append(Running(name, f.name, arg, types[0].startswith("float")))
+                return Typed(F.col(name), f.return_type(types), level)
             if f.kind == "aggregate":
                 made = f.running(types, cast(args[0], types[0]), w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
             else:
@@ -243,6 +249,8 @@ class Compiler:
             self.helpers.setdefault(level, {}).update(cols)
         for level, folds in inner.folds.items():
             self.folds.setdefault(level, []).extend(folds)
+        for level, whole in inner.whole.items():
+            self.whole.setdefault(level, []).extend(whole)
 
     def _aggregate(self, c: Column) -> Column:
         name = self._name()
@@ -255,7 +263,9 @@ class Compiler:
         """df with the helper columns."""
         if self.needs_index:
             df = df.withColumn("__rill_index", F.row_number().over(self.series.window()).cast("long"))
-        for level in sorted({*self.helpers, *self.folds}):
+        for level in sorted({*self.helpers, *self.folds, *self.whole}):
+            if level in self.whole:
+                df = running(df, self.series.seq, self.whole[level])
             if level in self.helpers:
                 df = df.withColumns(self.helpers[level])
             if level in self.folds:

@@ -66,3 +66,21 @@ def test_in_windows_the_last_value_counts(spark):
     for x in range(1, 10):
         e = (2 * x + e) / 3
     assert (row.m, row.s, row.r) == (8.0, 40.5, 36.0) and row.e == pytest.approx(e)
+
+
+@pytest.mark.parametrize("order", ["i", "t", "text"])
+def test_whole_streams_need_no_single_task(spark, rows, order):
+    df = spark.createDataFrame(rows, "i long, k string, x double, y double, c boolean").selectExpr("*", "timestamp_millis(i * 7) as t", "lpad(i, 5, '0') as text")
+    frame = StreamFrame.source(df, seq=order)
+    names = ("avg", "sum", "count", "max", "min", "first", "last")
+    out = sql("select i, " + ", ".join(f"{n}(x) as v_{n}" for n in names) + ", sum(max(y)) as nested from t", {"t": frame}).to_df()
+    got = {r.i: r for r in out.collect()}
+    states, top, total = {}, None, 0.0
+    for i, _, x, y, _ in rows:
+        for n in names:
+            states[n], want = step_of(None, n, (None,), states.get(n), x)
+            have = getattr(got[i], f"v_{n}")
+            assert have == pytest.approx(want, nan_ok=True) if want is not None else have is None
+        top = y if top is None or (y is not None and y > top) else top
+        total += top or 0.0
+        assert got[i].nested == pytest.approx(total)
