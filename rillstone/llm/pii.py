@@ -210,7 +210,7 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **se
     spans = find(docs, id_col, text_col, **settings).where("spans <> ''").select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).groupBy("__key").agg(F.min("__spans").alias("__spans"))
     spans = stored(spans, "pii-spans")
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    marked = keyed.join(spans, "__key", "left")
+    marked = keyed.join(spans.hint("merge"), "__key", "left")
 
     @F.pandas_udf("string")
     def masked(text, spans):
