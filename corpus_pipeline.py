@@ -25,11 +25,12 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group of near-duplicates."""
     kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = common.stored(kept, "pipeline-kept")
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    # kept has no bound, so it is never broadcast: the plan is the same at every size
+    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
     again = common.stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "pipeline-again")
-    once = rows.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    once = rows.join(again.hint("merge"), F.col("doc_id") == F.col("__again"), "left_anti")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"])
-    more = rows.join(again, F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    more = rows.join(again.hint("merge"), F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
     return once.select(*docs.columns).union(more.select(*docs.columns))
 
 
