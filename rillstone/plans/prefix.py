@@ -1,7 +1,7 @@
 """Running values over a whole stream without a task that sees the whole stream.
 
-The arrival order is cut into buckets of equal width. Each bucket is aggregated; a window over the buckets (256 rows at most,
-so the result can be broadcast) tells what came before each of them, and a window inside the bucket gives the rest. Both parts
+The arrival order is cut into buckets of equal width. Each bucket is aggregated; a window over the buckets (one row each, so few
+that the result can be broadcast) tells what came before each of them, and a window inside the bucket gives the rest. Both parts
 are combined for each row. Orders that are neither numbers nor times, nor structs that begin with one, take a plain window.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets that an order is cut into.
-BUCKETS = 256
+#: Least and most buckets that an order is cut into, and the rows aimed at in each: a table of MOST_BUCKETS rows is a few MB.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 256, 200_000, 500_000
 BUCKET = "__bucket"
 
 
@@ -44,10 +44,10 @@ def bucketed(df: DataFrame, seq: str, buckets: int = BUCKETS) -> DataFrame | Non
     coarse = _coarse(F.col(seq), df.schema[seq].dataType)
     if coarse is None:
         return None
-    low, high = df.agg(F.min(coarse), F.max(coarse)).first()
+    low, high, rows = df.agg(F.min(coarse), F.max(coarse), F.count(F.lit(1))).first()
     if low is None or high == low:
         return None
-    width = (high - low) // buckets + 1
+    width = (high - low) // min(MOST_BUCKETS, max(buckets, rows // BUCKET_ROWS)) + 1
     return df.withColumn(BUCKET, F.coalesce(F.floor((coarse.cast("decimal(20,0)") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("int"))
 
 
