@@ -6,9 +6,10 @@ cosine in double precision, the others are dropped. Window and count are calibra
 unit vectors of cosine c differ on a Gaussian line by a normal variable of variance 2 - 2c.
 
 Counting over a whole label is quadratic in it, so counting is done in cells: in each of several rounds the sorted values
-of ``bits`` lines are cut at their medians, and the sides taken form a cell's code. The number of lines grows with the
-largest label so that cells stay small, and the number of rounds with it, so that a pair at the threshold shares a cell in
-some round with probability ``cell_recall``. A pair is counted only in the first round that brings it together, which either
+of ``bits`` lines are cut at their medians, and the sides taken form a cell's code. Medians, and how often a cut parts a pair
+at the threshold, are measured on a bounded sample (``SAMPLE`` vectors). The number of lines grows with the largest label so
+that cells stay small, and the number of rounds with it, so that a pair at the threshold shares a cell in some round with
+probability ``CELL_RECALL``; where that takes more than ``MOST_ROUNDS`` rounds, fewer lines are cut and cells are larger. A pair is counted only in the first round that brings it together, which either
 side can tell from both codes, so link counts need no list of pairs. Cells of more than ``block`` vectors are compared block
 by block in tasks of their own.
 
@@ -35,6 +36,7 @@ THRESHOLD = 0.93
 PROJECTIONS = 48
 CELL, BLOCK = 192, 1_024
 CELL_RECALL, COUNT_RECALL = 0.985, 0.997
+SAMPLE, MOST_ROUNDS = 2_048, 48
 SEED = 20_240_229
 
 
@@ -43,6 +45,12 @@ def lines(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, count))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in two steps so that nothing overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def calibrated(threshold: float, projections: int, recall: float) -> tuple[float, int]:
     """(window, needed): a pair at the threshold collides on ``needed`` lines or more with probability ``recall``."""
     spread = math.sqrt(2 - 2 * threshold)
@@ -53,10 +61,20 @@ def calibrated(threshold: float, projections: int, recall: float) -> tuple[float
     return 1.25 * spread, needed
 
 
-def rounds_for(threshold: float, bits: int, recall: float) -> int:
-    """Rounds after which a pair at the threshold has shared a cell of so many medians with probability ``recall``."""
-    p = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
+def cells_for(projected: np.ndarray, wanted: int, threshold: float, recall: float) -> tuple[np.ndarray, int, int]:
+    """(medians, bits, rounds) from a sample's projections, ``wanted`` columns for each of MOST_ROUNDS rounds."""
+    if not wanted or not len(projected):
+        return np.zeros(0), 0, 1
+    medians = np.median(projected, axis=0)
+    away = np.abs(projected - medians) / math.sqrt(2 - 2 * threshold)
+    kept = 1 - np.array([[0.5 * math.erfc(x / math.sqrt(2)) for x in column] for column in away.T]).mean(axis=1)
+    by_round = kept.reshape(MOST_ROUNDS, wanted)
+    for bits in range(wanted, 0, -1):
+        missed = np.cumprod(1 - by_round[:, :bits].prod(axis=1))
+        if missed[-1] <= 1 - recall:
+            rounds = int(np.argmax(missed <= 1 - recall)) + 1
+            return medians.reshape(MOST_ROUNDS, wanted)[:rounds, :bits].ravel(), bits, rounds
+    return np.zeros(0), 0, 1
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, projections: int = PROJECTIONS, cell: int = CELL, block: int = BLOCK, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -69,23 +87,30 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, projections: int
     keyed = stored(rows.where("good").select("id", key.alias("key"), "label", "v"), "vectors-keyed")
     points = stored(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vectors-points")
     largest = points.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, largest / cell))))
-    rounds = rounds_for(threshold, bits, CELL_RECALL)
+    wanted = min(40, max(0, math.ceil(math.log2(max(1, largest / cell)))))
+    sample = [r[0] for r in points.select("v").orderBy("key").limit(SAMPLE).collect()] if wanted else []
+    plans = {}
+    for dim in {len(v) for v in sample}:
+        unit = units(np.array([v for v in sample if len(v) == dim]))
+        plans[dim] = cells_for(unit @ lines_of(dim, MOST_ROUNDS * wanted, seed + 1), wanted, threshold, CELL_RECALL)
     window, needed = calibrated(threshold, projections, COUNT_RECALL)
 
     def encode(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                vs = [np.array(v) for v in part.column("v").to_pylist()]
-                codes = []
-                for v in vs:
-                    unit = v / np.abs(v).max()
-                    unit /= np.linalg.norm(unit)
-                    side = unit @ lines_of(len(v), rounds * bits, seed + 1) > 0
-                    codes.append(side.reshape(rounds, bits) @ (1 << np.arange(bits, dtype=np.int64)))
-                flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "copies", "label", "v")], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, rounds), pa.int32()), pa.array(flat, pa.int64()))], ["rep", "copies", "label", "v", "codes"])
+                vectors = part.column("v").to_pylist()
+                codes = [np.zeros(1, np.int64)] * len(vectors)
+                for dim in {len(v) for v in vectors} & {d for d, p in plans.items() if p[1]}:
+                    medians, bits, rounds = plans[dim]
+                    at = [k for k, v in enumerate(vectors) if len(v) == dim]
+                    drawn = lines_of(dim, MOST_ROUNDS * wanted, seed + 1).reshape(dim, MOST_ROUNDS, wanted)[:, :rounds, :bits].reshape(dim, -1)
+                    side = (units(np.array([vectors[k] for k in at])) @ drawn > medians).reshape(len(at), rounds, bits)
+                    for k, code in zip(at, side @ (1 << np.arange(bits, dtype=np.int64)), strict=True):
+                        codes[k] = code
+                ends = np.cumsum([0, *map(len, codes)])
+                flat = np.concatenate(codes)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "copies", "label", "v")], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["rep", "copies", "label", "v", "codes"])
 
     coded = points.select("rep", "copies", "label", "v").mapInArrow(encode, "rep long, copies long, label string, v array<double>, codes array<long>")
     coded = stored(coded, "vectors-coded")
@@ -102,12 +127,11 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, projections: int
         every = group.column("v").to_pylist()
         for dim in sorted({len(v) for v in every}):
             mine = np.array([k for k, v in enumerate(every) if len(v) == dim])
-            x = np.array([every[k] for k in mine])
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = units(np.array([every[k] for k in mine]))
             rep, copies = (group.column(c).to_numpy()[mine] for c in ("rep", "copies"))
             own = group.column("own").to_numpy()[mine]
-            codes = np.array(group.column("codes").to_pylist(), np.int64)[mine].reshape(len(mine), rounds)
+            every_code = group.column("codes").to_pylist()
+            codes = np.array([every_code[k] for k in mine], np.int64)
             this = group.column("round")[0].as_py()
             cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
             proj = (x @ lines_of(dim, projections, seed)).astype(np.float32)
