@@ -63,11 +63,11 @@ class Ordinals(dict):
 class ChunkTable:
     """Distinct chunks, each encoded once; values are joined back to positions by gathering.
 
-    ``encode`` maps a list of new chunks to a list of sequences. The table is emptied when it holds more than ``limit``
+    ``encode`` maps a list of new chunks to a list of sequences, or to an array with a row for each. The table is emptied when it holds more than ``limit``
     chunks, so its memory is bounded however many distinct chunks a partition has; only repeated work is lost then.
     """
 
-    def __init__(self, encode: Callable[[list], list], dtype, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], list | np.ndarray], dtype, limit: int = 400_000):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self.clear()
 
@@ -83,8 +83,11 @@ class ChunkTable:
         at = self.index.of(chunks)
         if len(self.index) > before:
             values = self.encode(list(islice(self.index, before, None)))
-            lengths = np.fromiter(map(len, values), np.int64, len(values))
-            flat = np.concatenate([np.asarray(v, self.dtype) for v in values]) if lengths.sum() else np.zeros(0, self.dtype)
+            if isinstance(values, np.ndarray):
+                lengths, flat = np.full(len(values), values.shape[1]), values.ravel()
+            else:
+                lengths = np.fromiter(map(len, values), np.int64, len(values))
+                flat = np.concatenate([np.asarray(v, self.dtype) for v in values]) if lengths.sum() else np.zeros(0, self.dtype)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, flat])

@@ -18,6 +18,8 @@ held out and never trains. Repeated rows give repeated results; texts are never
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +37,25 @@ SLOTS = 1 << 21
 PROBES = 4
 #: Most grams kept for a language, most frequent first: bounds what reaches the driver and the filters' fill.
 MOST_GRAMS = 100_000
+#: Words whose grams are looked up at once.
+BLOCK = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def gram_hashes(words: list[str]) -> list[np.ndarray]:
-    """The distinct-position gram hashes of each word, padded by a blank on both sides, of all orders."""
-    if not words:
-        return []
+def gram_hashes(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order the hashes at all positions of the joined words, and where each word's own grams begin and end there.
+    Words are padded by a blank on both sides; single letters leave the padding out."""
     codes = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - (lengths + 1)
-    parts: list[list[np.ndarray]] = []
+    out = []
     for n in ORDERS:
-        h = np.full(len(codes) - n + 1 if len(codes) >= n else 0, n, np.uint64)
+        h = np.full(max(0, len(codes) - n + 1), n, np.uint64)
         for k in range(n):
             h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(h) + k]
-        h = mix64(h)
-        lo, hi = (1, 0) if n == 1 else (0, 2 - n + 1)
-        parts.append([h[s + lo : max(s + lo, s + m + (1 if n == 1 else hi))] for s, m in zip(starts.tolist(), lengths.tolist())])
-    return [np.concatenate(p) for p in zip(*parts, strict=True)]
+        begin = starts + (n == 1)
+        out.append((mix64(h), begin, np.maximum(begin, starts + lengths + 1 if n == 1 else starts + lengths + 3 - n)))
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,19 +63,25 @@ def words_of(text: str | None) -> list[str]:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """(lang, gram, n) over rows (lang, text): summed within each slice, then across tasks."""
+    """(lang, gram, n) over rows (lang, text): distinct words are counted in each slice, their grams weighted by that, and the
+    counts added across tasks."""
 
-    def one(batch: pa.RecordBatch, chunks: ChunkTable) -> pa.RecordBatch:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         langs = batch.column("lang").to_pylist()
         texts = batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
-            at = chunks.lookup([w for t, of in zip(texts, langs, strict=True) if of == lang for w in words_of(t)])
-            grams, n = np.unique(chunks.gather(at), return_counts=True)
-            out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"]))
+            seen = Counter(chain.from_iterable(words_of(t) for t, of in zip(texts, langs, strict=True) if of == lang))
+            times = np.fromiter(seen.values(), np.int64, len(seen))
+            for h, begin, end in gram_hashes(list(seen)):  # grams of different orders never meet
+                sizes = end - begin
+                ends = np.cumsum(sizes)
+                gram, at = np.unique(h[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], return_inverse=True)
+                n = np.bincount(at, np.repeat(times, sizes), len(gram)).astype(np.int64)
+                out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]))
         return pa.concat_batches(out)
 
-    counted = map_text(rows, "text", one, "lang string, gram long, n long", lambda: ChunkTable(gram_hashes, np.uint64, 100_000))
+    counted = map_text(rows, "text", one, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -147,13 +155,18 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
         rates = f.false_rates() if k else np.zeros(0)
 
         def encode(words):
-            grams = gram_hashes(words)
-            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-            hits = f.hits(f.masks(np.concatenate(grams)))
-            sums = np.add.reduceat(np.concatenate([hits, np.zeros((1, k), np.int32)]), np.cumsum(sizes) - sizes, axis=0)
-            return list(np.column_stack([sizes, sums]))
-
-        return ChunkTable(encode, np.int32, 150_000), rates
+            """For each word its number of grams and how many of them each language holds."""
+            total = np.zeros((len(words), k + 1), np.int32)
+            for i in range(0, len(words), BLOCK):
+                part = total[i : i + BLOCK]
+                for h, begin, end in gram_hashes(words[i : i + BLOCK]):
+                    part[:, 0] += end - begin
+                    sums = np.zeros((len(h) + 1, k), np.int32)
+                    np.cumsum(f.hits(f.masks(h)), axis=0, out=sums[1:])
+                    part[:, 1:] += sums[end] - sums[begin]
+            return total
+
+        return ChunkTable(encode, np.int32), rates
 
     def one(batch: pa.RecordBatch, state) -> pa.RecordBatch:
         chunks, rates = state
