@@ -99,7 +99,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         def encode(words):
             n = np.array([auto.count(w.decode()) for w in words], np.int32)
-            return list(np.column_stack([np.where(n < 0, 1, n), n < 0]))
+            return np.column_stack([np.where(n < 0, 1, n), n < 0]).astype(np.int32)
 
         return ChunkTable(encode, np.int32)
 
