@@ -40,8 +40,8 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 1 << 64))
 
 
-def hash_words(words: list[bytes]) -> list:
-    return [(xxhash.xxh64_intdigest(w),) for w in words]
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[:, None]
 
 
 def spans_of(h: np.ndarray, length: int) -> np.ndarray:
