@@ -38,15 +38,16 @@ def _distinct(names: Sequence[str]) -> None:
 class StreamFrame:
     """A pipeline over a bounded or streaming DataFrame."""
 
-    def __init__(self, df: DataFrame, fields: Sequence[Field], keys: Sequence[str] = ()):
-        self._df, self.fields, self._keys = df, list(fields), tuple(keys)
+    def __init__(self, df: DataFrame, fields: Sequence[Field], keys: Sequence[str] = (), in_order: bool = False):
+        self._df, self.fields, self._keys, self._in_order = df, list(fields), tuple(keys), in_order
 
     @staticmethod
-    def source(df: DataFrame, time: E.Expr | None = None, seq: str | None = None, partition_by: Sequence[str] = (), qualifier: str | None = None) -> "StreamFrame":
+    def source(df: DataFrame, time: E.Expr | None = None, seq: str | None = None, partition_by: Sequence[str] = (), qualifier: str | None = None, in_order: bool = False) -> "StreamFrame":
         """A source with the hidden column ``@time``: the time expression on the raw row, the wall clock without one.
 
         seq: the column that gives the arrival order (the reading order of files without one). partition_by: columns that
-        part the rows into series for running functions; without any there is one series.
+        part the rows into series for running functions; without any there is one series. in_order: promises that the event
+        time never falls along the arrival order, so no row is late; it is known without a promise where seq is the time.
         """
         df = _instants(df)
         fields = fields_of(df, qualifier)
@@ -61,11 +62,12 @@ class StreamFrame:
         order = quoted(find(fields, seq, None).source) if seq else F.lit(0).cast("long") if df.isStreaming else F.monotonically_increasing_id()
         keys = {f"__key{i}": quoted(find(fields, k, None).source) for i, k in enumerate(partition_by)}
         out = df.withColumns({TIME: at, SEQ: order, **keys})
-        return StreamFrame(out, [*fields, Field(TIME, "timestamp", qualifier)], tuple(keys))
+        same = isinstance(time, E.Column) and seq is not None and time.name.lower() == seq.lower()
+        return StreamFrame(out, [*fields, Field(TIME, "timestamp", qualifier)], tuple(keys), in_order or same)
 
     def renamed(self, qualifier: str | None) -> "StreamFrame":
         """The same rows under another qualifier, as a sub-query's alias gives them."""
-        return StreamFrame(self._df, [Field(f.name, f.type, qualifier, f.source) for f in self.fields], self._keys)
+        return StreamFrame(self._df, [Field(f.name, f.type, qualifier, f.source) for f in self.fields], self._keys, self._in_order)
 
     # -- operators ---------------------------------------------------------------------------------------------------
 
@@ -96,7 +98,8 @@ class StreamFrame:
         df = c.apply(self._df)
         out = df.select(*[t.column.alias(n) for t, n in zip(typed, names, strict=True)], SEQ, *self._keys)
         qualifiers = [find(self.fields, e.name, e.qualifier).qualifier if isinstance(e, E.Column) else None for e in items]
-        return StreamFrame(out, [Field(n, t.type, q) for n, t, q in zip(names, typed, qualifiers, strict=True)], self._keys)
+        kept = self._in_order and all(isinstance(e, E.Column) for e, n in zip(items, names, strict=True) if n.lower() == TIME)
+        return StreamFrame(out, [Field(n, t.type, q) for n, t, q in zip(names, typed, qualifiers, strict=True)], self._keys, kept)
 
     def filter(self, predicate) -> "StreamFrame":
         """Rows for which the predicate is true; top-level conjuncts stay apart so that they can be pushed down."""
@@ -108,7 +111,7 @@ class StreamFrame:
         else:
             for part in _conjuncts(predicate):
                 df = df.where(self._boolean(Compiler(self.fields, "scalar").compile(part)).column)
-        return StreamFrame(df, self.fields, self._keys)
+        return StreamFrame(df, self.fields, self._keys, self._in_order)
 
     @staticmethod
     def _boolean(t: Typed) -> Typed:
@@ -130,18 +133,23 @@ class StreamFrame:
         df = self._df
         if df.isStreaming:
             raise PlanError("a streaming aggregate is run by rillstone.streaming")
-        df = drop_late(df, time, mark and mark.column, SEQ)
-        key_columns = {f"__group{i}": scalar.compile(E.as_expr(k)).column for i, k in enumerate(keys)}
+        if self._in_order and (watermark is None or _is_delay(watermark)):
+            df = df.where(time.isNotNull())
+        else:
+            df = drop_late(df, time, mark and mark.column, SEQ)
+        made = [scalar.compile(E.as_expr(k)) for k in keys]
+        key_columns = {f"__group{i}": k.column for i, k in enumerate(made)}
         df = with_start(df.withColumns(key_columns) if key_columns else df, time, window, START)
         names = [E.as_expr(e).output_name() for e in items]
         _distinct([*names, TIME])
         groups = [START, *key_columns]
         c = Compiler(self.fields, "grouped", Series(SEQ, [F.col(g) for g in groups]))
+        c.group_keys = {t: Typed(F.col(f"__group{i}"), k.type) for i, (e, k) in enumerate(zip(keys, made, strict=True)) if (t := scalar.text_of(E.as_expr(e)))}
         typed = [c.compile(E.as_expr(e)) for e in items]
         df = c.apply(df)
         grouped = df.groupBy(*groups).agg(*c.aggregates.values(), F.max(SEQ).alias("__last"))
         out = grouped.select(*[t.column.alias(n) for t, n in zip(typed, names, strict=True)], F.col(START).alias(TIME), F.struct(F.col(START), F.col("__last")).alias(SEQ))
-        return StreamFrame(out, [*[Field(n, t.type) for n, t in zip(names, typed, strict=True)], Field(TIME, "timestamp")])
+        return StreamFrame(out, [*[Field(n, t.type) for n, t in zip(names, typed, strict=True)], Field(TIME, "timestamp")], in_order=True)
 
     # -- results -----------------------------------------------------------------------------------------------------
 
@@ -161,6 +169,11 @@ class StreamFrame:
         return self.to_df().observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def _is_delay(e: E.Expr) -> bool:
+    """Whether a watermark is the event time less a constant: it rises with the time and never passes it."""
+    return isinstance(e, E.Call) and e.namespace is None and e.name.lower() == "timestamp_sub" and len(e.args) == 2 and isinstance(e.args[0], E.Column) and e.args[0].name.lower() == TIME and isinstance(e.args[1], E.Literal) and isinstance(e.args[1].value, int) and e.args[1].value >= 0
+
+
 def _conjuncts(e: E.Expr) -> list[E.Expr]:
     if isinstance(e, E.Binary) and e.op == "and":
         return [*_conjuncts(e.left), *_conjuncts(e.right)]

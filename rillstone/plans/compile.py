@@ -115,6 +115,7 @@ class Compiler:
         self.whole: dict[int, list[Running]] = {}  # aggregates over a whole stream
         self.aggregates: dict[str, Column] = {}
         self.needs_index = False
+        self.group_keys: dict[str, Typed] = {}  # by the key's text: items that are keys need no aggregate
         self._n = 0
 
     def _name(self) -> str:
@@ -126,6 +127,8 @@ class Compiler:
     def compile(self, e: E.Expr) -> Typed:
         if isinstance(e, E.Alias):
             return self.compile(e.child)
+        if self.group_keys and (key := self.group_keys.get(self.text_of(e))):
+            return key
         if isinstance(e, E.Literal):
             kind = literal_type(e.value)
             return Typed(F.lit(e.value).cast(SPARK[kind]), kind, literal=e.value, is_literal=True)
@@ -145,6 +148,10 @@ class Compiler:
             return self._call(e)
         raise PlanError(f"unknown expression: {e!r}")
 
+    def text_of(self, e: E.Expr) -> str | None:
+        """A column's source, which tells it whatever its case or qualifier; None for other expressions."""
+        return find(self.fields, e.name, e.qualifier).source if isinstance(e, E.Column) else None
+
     def _unary(self, e: E.Unary) -> Typed:
         x = self.compile(e.child)
         if e.op == "-":

@@ -31,12 +31,12 @@ STREAMS = {
 }
 
 
-def stream(spark, sf_dir: str, name: str, seq: str | None = None, keys: list[str] | None = None, add: dict | None = None) -> StreamFrame:
+def stream(spark, sf_dir: str, name: str, seq: str | None = None, keys: list[str] | None = None, add: dict | None = None, in_order: bool = False) -> StreamFrame:
     time, own_seq, own_keys = STREAMS[name]
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if add:
         df = df.withColumns({k: F.expr(v) for k, v in add.items()})
-    return StreamFrame.source(df, time=parse_expr(time) if time else None, seq=seq or own_seq, partition_by=own_keys if keys is None else keys, qualifier=name)
+    return StreamFrame.source(df, time=parse_expr(time) if time else None, seq=seq or own_seq, partition_by=own_keys if keys is None else keys, qualifier=name, in_order=in_order)
 
 
 def finished(df: DataFrame) -> DataFrame:
@@ -104,9 +104,9 @@ add(
     "select event_type, count(value) as n from events group by event_type window sliding(25m, 10m)",
     "select event_type, count(value) as n, make_timestamp((epoch_ms(ts) // 600000 + k) * 600000000) as window_start from events, (select unnest(range(3)) as k) group by event_type, make_timestamp((epoch_ms(ts) // 600000 + k) * 600000000)",
 )
-add("window_orders_month", "select o_orderstatus, sum(o_totalprice) as total, count(o_orderkey) as n from orders group by o_orderstatus window month", f"select o_orderstatus, {r('sum(o_totalprice)')} as total, count(*) as n, date_trunc('month', o_orderdate)::timestamp as window_start from kept group by o_orderstatus, date_trunc('month', o_orderdate)", "orders", seq="arrival", add={"arrival": "unix_micros(cast(o_orderdate as timestamp))"})
+add("window_orders_month", "select o_orderstatus, sum(o_totalprice) as total, count(o_orderkey) as n from orders group by o_orderstatus window month", f"select o_orderstatus, {r('sum(o_totalprice)')} as total, count(*) as n, date_trunc('month', o_orderdate)::timestamp as window_start from kept group by o_orderstatus, date_trunc('month', o_orderdate)", "orders", seq="arrival", add={"arrival": "unix_micros(cast(o_orderdate as timestamp))"}, in_order=True)
 ORACLES["window_orders_month"] = ORACLES["window_orders_month"].replace("from kept", "from orders")
-add("window_lineitem_year", "select l_returnflag, l_linestatus, sum(l_extendedprice * (1 - l_discount)) as revenue, avg(l_quantity) as quantity from lineitem group by l_returnflag, l_linestatus window year", f"select l_returnflag, l_linestatus, {r('sum(l_extendedprice * (1 - l_discount))')} as revenue, {r('avg(l_quantity)')} as quantity, date_trunc('year', l_shipdate)::timestamp as window_start from lineitem group by l_returnflag, l_linestatus, date_trunc('year', l_shipdate)", "lineitem", seq="arrival", add={"arrival": "unix_micros(cast(l_shipdate as timestamp))"})
+add("window_lineitem_year", "select l_returnflag, l_linestatus, sum(l_extendedprice * (1 - l_discount)) as revenue, avg(l_quantity) as quantity from lineitem group by l_returnflag, l_linestatus window year", f"select l_returnflag, l_linestatus, {r('sum(l_extendedprice * (1 - l_discount))')} as revenue, {r('avg(l_quantity)')} as quantity, date_trunc('year', l_shipdate)::timestamp as window_start from lineitem group by l_returnflag, l_linestatus, date_trunc('year', l_shipdate)", "lineitem", seq="arrival", add={"arrival": "unix_micros(cast(l_shipdate as timestamp))"}, in_order=True)
 add("window_no_keys", "select sum(value) as total, max(event_id) as top from events window fixed(1d)", f"select {r('sum(value)')} as total, max(event_id) as top, {bucket('ts', DAY)} as window_start from events group by {bucket('ts', DAY)}")
 add("window_last_row", "select event_type, user_id, value * 2 as twice, props from events group by event_type window day", f"select event_type, arg_max_null(user_id, event_id) as user_id, {r('arg_max_null(value, event_id) * 2')} as twice, arg_max_null(props, event_id) as props, date_trunc('day', ts)::timestamp as window_start from events group by event_type, date_trunc('day', ts)")
 add("window_composed", "select event_type, sum(value) / count(value) + 1 as v, max(value) - min(value) as spread from events group by event_type window day", f"select event_type, {r('sum(value) / count(value) + 1')} as v, {r('max(value) - min(value)')} as spread, date_trunc('day', ts)::timestamp as window_start from events group by event_type, date_trunc('day', ts)")

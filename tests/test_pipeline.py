@@ -145,3 +145,16 @@ def test_filters_reach_the_scan(spark, data):
     df = sql("select event_id from e where value > 50.0 and event_type = 'click'", {"e": f}).to_df()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,50.0)" in plan and "EqualTo(event_type,click)" in plan and "props" not in plan.split("ReadSchema")[1]
+
+
+def test_ordered_streams_need_no_late_filter(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i)) for i in range(50)], "t long, k string, x double")
+    by_time = StreamFrame.source(df, time=col("t"), seq="t")
+    query = "select K, sum(x) as s, max(x) as m from t group by k window fixed(10ms) watermark by timestamp_sub(@time, 5s)"
+    plan = lambda f: sql(query, {"t": f}).to_df()._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(by_time) and "SortAggregate" not in plan(by_time)
+    slow = StreamFrame.source(df.withColumn("n", F.col("t")), time=col("t"), seq="n")
+    assert "Window" in plan(slow)
+    assert sorted(map(tuple, sql(query, {"t": by_time}).to_df().collect())) == sorted(map(tuple, sql(query, {"t": slow}).to_df().collect()))
+    moved = by_time.select(col("k"), col("x"), call("timestamp_sub", col("@time"), col("t") * 2).alias("@time"))
+    assert not moved._in_order and by_time.filter(col("x").gt(1.0)).select(col("k"), col("@time"))._in_order
