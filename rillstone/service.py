@@ -71,7 +71,7 @@ class Service:
     # -- definitions -------------------------------------------------------------------------------------------------
 
     def _createsource(self, s: CreateSource) -> str:
-        self.catalog.create("source", s.name, uri=s.uri, columns=s.columns, time=s.time.display() if s.time else None)
+        self.catalog.create("source", s.name, uri=s.uri, columns=s.columns, time=s.time_text)
         return "create source"
 
     def _createstream(self, s: CreateStream) -> str:

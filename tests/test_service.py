@@ -42,6 +42,8 @@ def test_statement_texts():
     for text, window in (("fixed(5m)", Window.fixed(300_000)), ("sliding(5 minutes, 60 seconds)", Window.sliding(300_000, 60_000)), ("week", Window.period("week"))):
         q = P.parse_select(f"select a, b from t where a>10 group by b window {window and text} watermark by time")
         assert q.window == window and q.watermark.name == "time"
+    s = P.parse_statement("create source a (s string) with 'csv:///x' time by parse_timestamp(s, '%H\"%M') ;")
+    assert s.time_text == "parse_timestamp(s, '%H\"%M')"
     for bad in ("create table t", "select a", "select a from t window fixed(5)", "show tables", "select a from t limit 3", "delete a"):
         with pytest.raises(ParseError):
             P.parse_statement(bad)
@@ -150,3 +152,13 @@ def test_native_windows(spark, tmp_path):
     q = out.writeStream.outputMode("append").format("memory").queryName("native").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.c, r.a) for r in spark.table("native").collect()} == {("a", 10), ("b", 56)}
+
+
+def test_sources_without_a_time_use_the_clock(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("1\n2\n")
+    s = Service(spark, str(tmp_path / "data"))
+    s.execute(f'create source a (x int64) with "csv://{p}"')
+    before = time.time()
+    rows = s.execute("select x, @time as t from a").collect()
+    assert len(rows) == 2 and all(before - 60 < r.t.timestamp() < time.time() + 60 for r in rows)
