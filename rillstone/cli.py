@@ -6,23 +6,28 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .display import table_text
+from .display import rows_text, table_text
 from .errors import RillError
-from .service import Service
+from .service import Metrics, Service
 from .sql.parser import Select, parse_statement
 
 
 def run(service: Service, text: str, write=print) -> None:
-    """Executes one statement and prints its result and, for a select, its metrics."""
+    """Executes one statement and prints its result, a select's by batch with its metrics after it. Ctrl-C cancels it."""
     try:
-        if isinstance(parse_statement(text), Select):
-            rows, m = service.query(text)
-            write(table_text(service.execute(text)) if rows else "No data!")
-            write(f"Input {m.input_rows} rows, output {m.output_rows} rows, done in {(m.end - m.start) / 1000:.3f} seconds.")
-        else:
+        if not isinstance(parse_statement(text), Select):
             write(table_text(service.execute(text)))
+            return
+        for part in service.batches(text):
+            if isinstance(part, Metrics):
+                write(f"Input {part.input_rows} rows, output {part.output_rows} rows, done in {(part.end - part.start) / 1000:.3f} seconds.")
+            else:
+                write(rows_text(*part))
     except RillError as e:
         write(f"error: {e}")
+    except KeyboardInterrupt:
+        service.spark.sparkContext.cancelAllJobs()
+        write("cancelled")
 
 
 def main() -> None:

@@ -90,10 +90,15 @@ _functions: dict[tuple[str | None, str], Function] = {}
 
 
 def register(f: Function) -> Function:
+    """Adds a function, also one of the user's: ``register(Function("twice", exact("float64"), "float64", build=lambda types, x: x * 2))``."""
     _functions[f.namespace and f.namespace.lower(), f.name.lower()] = f
     return f
 
 
+def unregister(namespace: str | None, name: str) -> None:
+    _functions.pop((namespace and namespace.lower(), name.lower()), None)
+
+
 def lookup(namespace: str | None, name: str) -> Function:
     """Names and namespaces are case-insensitive."""
     load()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +48,23 @@ class Service:
         action = getattr(self, f"_{type(s).__name__.lower()}")(s)
         return self.spark.createDataFrame([(action, True)], "action string, success boolean")
 
-    def query(self, text: str) -> tuple[list, Metrics]:
-        """A select's rows with metrics, counted while it runs."""
+    def batches(self, text: str, size: int = 1000) -> Iterator[tuple[list[str], list] | Metrics]:
+        """A select's result for a prompt: (columns, rows) by batch, then the metrics, counted while it runs. The result comes
+        to the driver; large ones belong in a sink."""
         began = int(time.time() * 1000)
         counted: list = []
-        frame = plan(parse_select(text), lambda name, alias: self.source(name, alias, counted=counted))
-        rows = frame.to_df().collect()
-        return rows, Metrics(began, int(time.time() * 1000), sum(o.get["rows"] for o in counted), len(rows))
+        df = plan(parse_select(text), lambda name, alias: self.source(name, alias, counted=counted)).to_df()
+        result = df.collect()
+        rows, n = iter(result), 0
+        while batch := list(islice(rows, size)):
+            n += len(batch)
+            yield df.columns, batch
+        yield Metrics(began, int(time.time() * 1000), sum(o.get["rows"] for o in counted), n)
+
+    def query(self, text: str) -> tuple[list, Metrics]:
+        """A select's rows and metrics."""
+        *parts, metrics = self.batches(text)
+        return [r for _, rows in parts for r in rows], metrics
 
     def select(self, query: Select) -> StreamFrame:
         return plan(query, self.source)

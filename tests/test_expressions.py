@@ -104,6 +104,18 @@ def test_lattice():
     assert [literal_type(x) for x in (127, 128, -32769, 1 << 40, 1.5, True, "a", None)] == ["int8", "int16", "int32", "int64", "float64", "boolean", "string", "null"]
 
 
+def test_users_can_add_functions(one):
+    from rillstone.functions.registry import Function, exact, register, unregister
+
+    register(Function("twice", exact("float64"), "float64", namespace="my", build=lambda types, x: x * 2))
+    try:
+        assert one("my.twice(j)") == 14.0
+    finally:
+        unregister("my", "twice")
+    with pytest.raises(PlanError, match="no such function"):
+        one("my.twice(j)")
+
+
 def test_registry_is_complete():
     assert len(all_functions()) == 74
     assert lookup("F", "MA").name == "ma"

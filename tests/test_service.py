@@ -162,3 +162,17 @@ def test_sources_without_a_time_use_the_clock(spark, tmp_path):
     before = time.time()
     rows = s.execute("select x, @time as t from a").collect()
     assert len(rows) == 2 and all(before - 60 < r.t.timestamp() < time.time() + 60 for r in rows)
+
+
+def test_prompt(spark, tmp_path):
+    from rillstone.cli import run
+
+    p = tmp_path / "bars.csv"
+    p.write_text("\n".join(LINES))
+    s, out = Service(spark, str(tmp_path / "data")), []
+    run(s, DECLARE.format(p), out.append)
+    run(s, "select a from bars where a > 24", out.append)
+    run(s, "select nosuch from bars", out.append)
+    run(s, "select", out.append)
+    assert "create source" in out[0] and "│ 25 │" in out[1] and out[2].startswith("Input 26 rows, output 2 rows, done in ")
+    assert out[3] == "error: not such column: nosuch" and out[4].startswith("error: expected")
