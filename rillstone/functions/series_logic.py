@@ -15,7 +15,7 @@ EPSILON = 2.220446049250313e-16
 def _cross(w, a, b):
     """a comes from below b to b or above; from equality it must rise above. Null on the first row."""
     a, b = number(a), number(b)
-    pa, pb = F.lag(a).over(w.spec), F.lag(b).over(w.spec)
+    pa, pb = F.lag(a).over(w.back(1)), F.lag(b).over(w.back(1))
     same = F.abs(pa - pb) < EPSILON
     return F.when(pa.isNotNull(), F.when(same, a > b).when(pa < pb, a >= b).otherwise(F.lit(False)))
 
@@ -25,7 +25,7 @@ def _longcross(w, a, b, n):
     if n <= 0:
         return F.lit(None).cast("boolean")
     a, b = number(a), number(b)
-    before = w.spec.rowsBetween(-n, -1)
+    before = w.back(n).rowsBetween(-n, -1)
     return F.when(w.index > n, (a >= b) & F.bool_and(a < b).over(before))
 
 

@@ -15,18 +15,30 @@ I, D, B = "int64", "float64", "boolean"
 
 
 class SeriesWindow:
-    """The ordered series that a function runs along."""
+    """The ordered series that a function runs along. ``index`` holds the row's number in its series, from 1."""
 
     def __init__(self, spec: WindowSpec):
         self.spec = spec
-        self.all = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        self.number = F.row_number().over(spec)
+
+    @property
+    def index(self) -> Column:
+        return F.col("__rill_index")
 
     def last(self, n: int) -> WindowSpec:
-        return self.spec.rowsBetween(-(n - 1), Window.currentRow) if n > 0 else self.all
+        """The last n rows."""
+        return self.back(n - 1).rowsBetween(-(n - 1), Window.currentRow)
+
+    def back(self, n: int) -> WindowSpec:
+        """The order, for functions that look at most n rows back."""
+        return self.spec
+
+    def upto(self, function: str, x: Column) -> Column:
+        """An aggregate over all rows so far: sum, count, avg, max or min."""
+        made = getattr(F, function)(x).over(self.spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.coalesce(made, F.lit(0.0)) if function == "sum" else made
 
     def full(self, n: int, x: Column) -> Column:
-        """x once n rows are there; always for n <= 0."""
+        """x once n rows are there."""
         return F.when(F.count(F.lit(1)).over(self.last(n)) >= n, x) if n > 1 else x
 
 
@@ -42,57 +54,67 @@ def _series(name: str, types: tuple, returns, running, constants: tuple = (1,))
     register(Function(name, exact(*types), returns, "series", "f", running=running, constants=constants))
 
 
-def _row(w: SeriesWindow) -> Column:
-    return F.count(F.lit(1)).over(w.all)
+def _rolling(name: str, kind: str, returns: str, clean, over, so_far, whole: bool = True) -> None:
+    """over(value, window) for n > 0, null until n rows are there if ``whole``; so_far(series, value) since the start."""
+
+    def running(w, x, n):
+        x = clean(x)
+        if n <= 0:
+            return so_far(w, x)
+        made = over(x, w.last(n))
+        return w.full(n, made) if whole else made
+
+    _series(name, (kind, I), returns, running)
 
 
-_series("all", (B, I), B, lambda w, x, n: w.full(n, F.bool_and(flag(x)).over(w.last(n))))
-_series("any", (B, I), B, lambda w, x, n: w.full(n, F.bool_or(flag(x)).over(w.last(n))))
-_series("count", (B, I), I, lambda w, x, n: w.full(n, F.count_if(flag(x)).over(w.last(n))))
-_series("hhv", (D, I), D, lambda w, x, n: F.max(number(x)).over(w.last(n)))
-_series("llv", (D, I), D, lambda w, x, n: F.min(number(x)).over(w.last(n)))
-_series("ma", (D, I), D, lambda w, x, n: w.full(n, F.avg(number(x)).over(w.last(n))))
-_series("sum", (D, I), D, lambda w, x, n: w.full(n, F.sum(number(x)).over(w.last(n))))
+_rolling("all", B, B, flag, lambda x, q: F.bool_and(x).over(q), lambda w, x: w.upto("min", x.cast("int")) == 1)
+_rolling("any", B, B, flag, lambda x, q: F.bool_or(x).over(q), lambda w, x: w.upto("max", x.cast("int")) == 1)
+_rolling("count", B, I, flag, lambda x, q: F.count_if(x).over(q), lambda w, x: w.upto("count", F.when(x, 1)))
+_rolling("hhv", D, D, number, lambda x, q: F.max(x).over(q), lambda w, x: w.upto("max", x), False)
+_rolling("llv", D, D, number, lambda x, q: F.min(x).over(q), lambda w, x: w.upto("min", x), False)
+_rolling("ma", D, D, number, lambda x, q: F.avg(x).over(q), lambda w, x: w.upto("avg", x))
+_rolling("sum", D, D, number, lambda x, q: F.sum(x).over(q), lambda w, x: w.upto("sum", x))
 
 
-# These read the row number inside a window aggregate, so the planner numbers the series first: w.index is a column.
 def _barslast(w, x):
-    return w.index - F.last(F.when(flag(x), w.index), ignorenulls=True).over(w.all)
+    return w.index - w.upto("max", F.when(flag(x), w.index))
 
 
 def _barssince(w, x):
-    return w.index - F.min(F.when(flag(x), w.index)).over(w.all)
+    return w.index - w.upto("min", F.when(flag(x), w.index))
 
 
 def _run(w, x):
-    return w.index - F.coalesce(F.max(F.when(~flag(x), w.index)).over(w.all), F.lit(0).cast("long"))
+    return w.index - F.coalesce(w.upto("max", F.when(~flag(x), w.index)), F.lit(0).cast("long"))
 
 
-def _extreme_bars(pick):
-    def running(w, x, n):
-        best = pick(w, number(x), w.last(n))
-        return w.index - best
+def _hhvbars(w, x, n):
+    """Back to the earliest greatest value: the greatest pair of value and negated row number."""
+    pair = F.struct(number(x).alias("x"), (-w.index).alias("i"))
+    return w.index + (F.max(pair).over(w.last(n)) if n > 0 else w.upto("max", pair))["i"]
+
 
-    return running
+def _llvbars(w, x, n):
+    pair = F.struct(number(x).alias("x"), w.index.alias("i"))
+    return w.index - (F.min(pair).over(w.last(n)) if n > 0 else w.upto("min", pair))["i"]
 
 
 def _wma(w, x, n):
     """Weights 1 to n, the newest the largest; since the start the weights are the row numbers."""
     x = number(x)
-    weighted = F.sum(w.index * x).over(w.last(n))
     if n > 0:
-        plain = F.sum(x).over(w.last(n))
+        weighted, plain = F.sum(w.index * x).over(w.last(n)), F.sum(x).over(w.last(n))
         return w.full(n, (weighted - (w.index - n) * plain) / (n * (n + 1) / 2))
-    return weighted / F.sum(w.index).over(w.all)
+    return w.upto("sum", w.index * x) / w.upto("sum", w.index.cast("double"))
 
 
 _series("barslast", (B,), I, _barslast, ())
 _series("barssince", (B,), I, _barssince, ())
 _series("last", (B,), I, _run, ())
-_series("hhvbars", (D, I), I, _extreme_bars(lambda w, x, over: -F.max(F.struct(x.alias("x"), (-w.index).alias("i"))).over(over)["i"]))
-_series("llvbars", (D, I), I, _extreme_bars(lambda w, x, over: F.min(F.struct(x.alias("x"), w.index.alias("i"))).over(over)["i"]))
+_series("hhvbars", (D, I), I, _hhvbars)
+_series("llvbars", (D, I), I, _llvbars)
 _series("wma", (D, I), D, _wma)
-register(Function("ref", anything(2), lambda a: a[0], "series", "f", running=lambda w, x, n: F.lag(x, n).over(w.spec) if n > 0 else x, constants=(1,)))
+register(Function("ref", anything(2), lambda a: a[0], "series", "f", running=lambda w, x, n: F.lag(x, n).over(w.back(n)) if n > 0 else x, constants=(1,)))
 
 
 # Steps of the recurrences: step(state, *values) -> (state, value); state None before the first row.

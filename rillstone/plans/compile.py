@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,9 @@ from ..types import FLOATS, INTS, NUMERIC, SPARK, literal_type, name_of
 from .prefix import Running, running
 
 TIME = "@time"
+INDEX, BLOCK = "__rill_index", "__rill_block"
+#: Rows in a block of a whole stream.
+BLOCK_ROWS = 200_000
 
 
 @dataclass
@@ -78,6 +81,34 @@ class Series:
         return spec.orderBy(quoted(self.seq))
 
 
+class WholeSeries(SeriesWindow):
+    """One series of all rows: windows look back inside blocks of rows, aggregates since the start go by bucket prefixes."""
+
+    def __init__(self, compiler: "Compiler", level: int):
+        super().__init__(Window.partitionBy(BLOCK).orderBy(INDEX))
+        self.compiler, self.level = compiler, level
+
+    def back(self, n: int) -> WindowSpec:
+        self.compiler.lookback[self.level] = max(n, self.compiler.lookback.get(self.level, 0))
+        return self.spec
+
+    def upto(self, function: str, x: Column) -> Column:
+        name = self.compiler._name()
+        self.compiler.whole.setdefault(self.level, []).append(Running(name, function, x))
+        return F.col(name)
+
+
+def in_blocks(df: DataFrame, helpers: dict[str, Column], lookback: int) -> DataFrame:
+    """Adds windowed columns of a whole stream: rows are cut into blocks of equal count by their number, the last ``lookback``
+    rows of each block are lent to the next one, and only own rows are kept."""
+    rows = max(BLOCK_ROWS, 4 * lookback)
+    own = F.floor((F.col(INDEX) - 1) / rows)
+    lent = F.pmod(F.col(INDEX) - 1, F.lit(rows)) >= rows - lookback
+    places = F.when(lent, F.array(own, own + 1)).otherwise(F.array(own)) if lookback else F.array(own)
+    work = df.withColumn(BLOCK, F.explode(places)).withColumns(helpers)
+    return work.where(F.col(BLOCK) == own).drop(BLOCK)
+
+
 def cast(t: Typed, to: str) -> Column:
     if t.type == to or t.type == "other":
         return t.column
@@ -113,6 +144,7 @@ class Compiler:
         self.helpers: dict[int, dict[str, Column]] = {}
         self.folds: dict[int, list[Fold]] = {}
         self.whole: dict[int, list[Running]] = {}  # aggregates over a whole stream
+        self.lookback: dict[int, int] = {}  # rows that the helpers of a level look back, in a whole stream
         self.aggregates: dict[str, Column] = {}
         self.needs_index = False
         self.group_keys: dict[str, Typed] = {}  # by the key's text: items that are keys need no aggregate
@@ -230,8 +262,7 @@ class Compiler:
             if f.kind == "aggregate":
                 made = f.running(types, cast(args[0], types[0]), w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
             else:
-                s = SeriesWindow(w)
-                s.index = F.col("__rill_index")
+                s = SeriesWindow(w) if self.series.keys else WholeSeries(self, level)
                 self.needs_index = True
                 made = f.running(s, *[int(a.literal) if i in f.constants and self._constant(f, a) else cast(a, t) for i, (a, t) in enumerate(zip(args, types, strict=True))])
             self.helpers.setdefault(level, {})[name] = made
@@ -256,6 +287,8 @@ class Compiler:
             self.helpers.setdefault(level, {}).update(cols)
         for level, folds in inner.folds.items():
             self.folds.setdefault(level, []).extend(folds)
+        for level, rows in inner.lookback.items():
+            self.lookback[level] = max(rows, self.lookback.get(level, 0))
         for level, whole in inner.whole.items():
             self.whole.setdefault(level, []).extend(whole)
 
@@ -266,15 +299,20 @@ class Compiler:
 
     # -- helper columns ----------------------------------------------------------------------------------------------
 
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        if self.series.keys:
+            return df.withColumn(INDEX, F.row_number().over(self.series.window()).cast("long"))
+        return running(df, self.series.seq, [Running(INDEX, "count", F.lit(1))])
+
     def apply(self, df: DataFrame) -> DataFrame:
         """df with the helper columns."""
         if self.needs_index:
-            df = df.withColumn("__rill_index", F.row_number().over(self.series.window()).cast("long"))
+            df = self._numbered(df)
         for level in sorted({*self.helpers, *self.folds, *self.whole}):
             if level in self.whole:
                 df = running(df, self.series.seq, self.whole[level])
             if level in self.helpers:
-                df = df.withColumns(self.helpers[level])
+                df = df.withColumns(self.helpers[level]) if self.series.keys else in_blocks(df, self.helpers[level], self.lookback.get(level, 0))
             if level in self.folds:
                 df = (fold_stream if self.streaming else fold)(df, self.series, self.folds[level])
         return df

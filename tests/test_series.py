@@ -27,12 +27,22 @@ def rows():
     return [(i, rnd.choice("ab"), pick(), pick(), None if rnd.random() < 0.1 else rnd.random() < 0.4) for i in range(160)]
 
 
-@pytest.fixture(scope="module")
-def got(spark, rows):
+@pytest.fixture(scope="module", params=["series", "whole"])
+def got(spark, rows, request, whole_blocks):
     df = spark.createDataFrame(rows, "i long, k string, x double, y double, c boolean")
-    frame = StreamFrame.source(df, seq="i", partition_by=["k"])
+    frame = StreamFrame.source(df, seq="i", partition_by=["k"] if request.param == "series" else [])
     items = ", ".join(f"{c} as v{n}" for n, c in enumerate(CALLS))
-    return {r.i: r for r in sql(f"select i, {items} from t", {"t": frame}).to_df().collect()}
+    return request.param, {r.i: r for r in sql(f"select i, {items} from t", {"t": frame}).to_df().collect()}
+
+
+@pytest.fixture(scope="module")
+def whole_blocks():
+    """Blocks of few rows, so that rows are lent from block to block."""
+    from rillstone.plans import compile as plans
+
+    before, plans.BLOCK_ROWS = plans.BLOCK_ROWS, 20
+    yield
+    plans.BLOCK_ROWS = before
 
 
 @pytest.mark.parametrize("n", range(len(CALLS)))
@@ -40,8 +50,10 @@ def test_against_steps(rows, got, n):
     call = CALLS[n]
     space, name = ("f", call[2 : call.index("(")]) if call.startswith("f.") else (None, call[: call.index("(")])
     args = [a.strip() for a in call[call.index("(") + 1 : -1].split(",")]
+    kind, got = got
     states = {}
     for i, k, x, y, c in rows:
+        k = k if kind == "series" else None
         values = [{"x": x, "y": y, "c": c}[a] if a in ("x", "y", "c") else float(a) if "." in a else int(a) for a in args]
         zeros = tuple(None if space is None or name == "ref" else False if a == "c" else 0 for a in args)
         states[k], want = step_of(space, name, zeros, states.get(k), *values)
