@@ -203,6 +203,12 @@ for _f, _o in {"avg": r("avg(value) over a"), "sum": r("sum(value) over a"), "co
 series("running_nested", "sum(f.ma(value, 4)) + avg(value)", r("coalesce((select null), avg(value) over a)"))
 ORACLES["running_nested"] = f"select event_id, {r('coalesce(sum(m) over a, 0) + avg(value) over a')} as v from (select *, case when count(*) over q = 4 then avg(value) over q end as m from events window q as ({ROLL})) window a as ({ALL})"
 add("running_whole_stream", "select event_id, sum(value) as s, avg(value) as a, count(value) as n, max(value) as hi, min(value) as lo, first(value) as f, last(user_id) as l from events", f"select event_id, {r('sum(value) over w')} as s, {r('avg(value) over w')} as a, count(value) over w as n, {r('max(value) over w')} as hi, {r('min(value) over w')} as lo, {r('first(value) over w')} as f, user_id as l from events window w as (order by event_id rows unbounded preceding)", keys=[])
+add(
+    "series_whole_stream",
+    f"select event_id, f.ma(value, 4) as m, f.slope(value, 4) as s, f.hhvbars(value, 0) as h, f.barslast({CLICK}) as b, f.ref(value, 7) as p, f.wma(value, 0) as w from events",
+    f"select event_id, case when i >= 4 then {r('avg(value) over q')} end as m, case when i >= 4 then {r('regr_slope(value, i) over q')} end as s, i - arg_max(i, value * 100000 - i) over a as h, i - max(case when event_type = 'click' then i end) over a as b, {r('lag(value, 7) over o')} as p, {r('sum(i * value) over a / sum(i) over a')} as w from (select *, row_number() over (order by event_id) as i from events) window o as (order by event_id), q as (order by event_id rows 3 preceding), a as (order by event_id rows unbounded preceding)",
+    keys=[],
+)
 series("f_all", f"f.all({CLICK}, 4)", full("bool_and(c) over q"))
 series("f_all_running", "f.all(user_id < 100, 0)", "bool_and(user_id < 100) over a")
 series("f_any", f"f.any({CLICK}, 4)", full("bool_or(c) over q"))
