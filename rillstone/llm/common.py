@@ -39,6 +39,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
     """``mapInArrow`` over bounded slices. ``setup()`` runs once per task and its value is handed to ``fn`` as second argument."""
 
     def run(batches):
+        held_of_stage()
         state = setup() if setup else None
         for batch in batches:
             for part in text_slices(batch, column):
@@ -49,6 +50,29 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+_held: dict = {"stage": None, "items": {}}
+
+
+def held_of_stage() -> dict:
+    """What tasks of the running stage share in this worker process. A task of another stage starts with nothing, so what one
+    operator has built doesn't stay in memory while workers, which Spark uses again, run others."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if stage != _held["stage"]:
+        _held["stage"], _held["items"] = stage, {}
+    return _held["items"]
+
+
+def held(key, make: Callable):
+    """make() once for the tasks of a stage in a worker process."""
+    items = held_of_stage()
+    if key not in items:
+        items[key] = make()
+    return items[key]
+
+
 class Ordinals(dict):
     """Gives each distinct key the next integer."""
 

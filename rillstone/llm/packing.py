@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, map_text, stored, table, text_rows
+from .common import ChunkTable, held, map_text, stored, table, text_rows
 
 WINDOW = 4096
 END_ID = 2
@@ -39,11 +39,9 @@ GAP = b"\x01"
 #: Punctuation at the end of a chunk, after a letter or digit: the tokenizer never joins the two, so they are chunks of their own.
 TRAIL = re.compile(rb"([.,!?;:#$%&*|](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:#$%&*|]*)(?=[\x20\x09-\x0D]|\Z)")
 
-_tables: dict[str, "Tokens"] = {}
-
 
 class Tokens:
-    """Ids of whole texts through a table of distinct chunks, kept for the life of the worker process."""
+    """Ids of whole texts through a table of distinct chunks, shared by the tasks of a stage in a worker process."""
 
     def __init__(self, path: str):
         import os
@@ -81,12 +79,6 @@ class Tokens:
         return self.table.gather(at), np.diff(ends)
 
 
-def tokens_of(path: str) -> Tokens:
-    if path not in _tables:
-        _tables[path] = Tokens(path)
-    return _tables[path]
-
-
 def powers(n: int) -> list[int]:
     """The powers of two that n is the sum of, largest first."""
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
@@ -96,7 +88,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     """A row for each document: its length, CRCs of the pieces it may be cut into, and its rank in its task."""
 
     def setup():
-        return tokens_of(path), np.zeros(window + 1, np.int64), [0]
+        return held(("tokens", path), lambda: Tokens(path)), np.zeros(window + 1, np.int64), [0]
 
     def one(batch: pa.RecordBatch, state) -> pa.RecordBatch:
         tokens, seen, full_seen = state

@@ -16,9 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ChunkTable, map_text, table, text_rows
-
-_automata: dict[tuple, "LongestMatch"] = {}
+from .common import ChunkTable, held, map_text, table, text_rows
 
 
 class LongestMatch:
@@ -81,21 +79,18 @@ class LongestMatch:
 
 def automaton(model: str) -> LongestMatch:
     """The automaton of a SentencePiece vocabulary: marked pieces start words, the others continue them."""
-    key = (model,)
-    if key not in _automata:
-        import sentencepiece
+    import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        _automata[key] = LongestMatch({p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:] and len(p) > 1}, {p for p in pieces if "▁" not in p})
-    return _automata[key]
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    return LongestMatch({p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:] and len(p) > 1}, {p for p in pieces if "▁" not in p})
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) for every row; one map over the rows, no shuffle."""
 
     def setup():
-        auto = automaton(model)
+        auto = held(("automaton", model), lambda: automaton(model))
 
         def encode(words):
             n = np.array([auto.count(w.decode()) for w in words], np.int32)
