@@ -5,7 +5,9 @@ to the node of what remains after the pieces popped on the way, and the number o
 character by character; on a mismatch the link is followed and the count grows, so lengths come out in linear time and no
 piece is ever built. Each distinct word of a partition is read once; counts join back by position.
 
-A word is a run of characters other than ASCII white space. A word that can't be segmented counts as one unknown token.
+A word is a run of characters other than ASCII white space. A word that can't be segmented counts as one unknown token. The query
+reads each word with the mark in front over the full vocabulary, so the mark alone is the first piece where no longer marked one
+fits, and only words with a character outside the vocabulary are unknown.
 
 Defined results: null or empty text: 0 words, 0 tokens; words of any length are read whole; repeated rows repeat.
 """
@@ -77,23 +79,27 @@ class LongestMatch:
         return n
 
 
-def automaton(model: str) -> LongestMatch:
-    """The automaton of a SentencePiece vocabulary: marked pieces start words, the others continue them."""
+def automaton(model: str, bare_mark: bool = False) -> LongestMatch:
+    """The automaton of a SentencePiece vocabulary: marked pieces start words, the others continue them. bare_mark: all pieces, for
+    words with the mark in front."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    if bare_mark:
+        return LongestMatch({p for p in pieces if p[0] == "▁"}, set(pieces))
     return LongestMatch({p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:] and len(p) > 1}, {p for p in pieces if "▁" not in p})
 
 
-def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens, n_unknown) for every row; one map over the rows, no shuffle."""
+def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bare_mark: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_tokens, n_unknown) for every row; one map over the rows, no shuffle. bare_mark: the mark may be a piece."""
+    mark = "▁" if bare_mark else ""
 
     def setup():
-        auto = held(("automaton", model), lambda: automaton(model))
+        auto = held(("automaton", model, bare_mark), lambda: automaton(model, bare_mark))
 
         def encode(words):
-            n = np.array([auto.count(w.decode()) for w in words], np.int32)
+            n = np.array([auto.count(mark + w.decode()) for w in words], np.int32)
             return np.column_stack([np.where(n < 0, 1, n), n < 0]).astype(np.int32)
 
         return ChunkTable(encode, np.int32)
@@ -114,4 +120,4 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), bare_mark=True)

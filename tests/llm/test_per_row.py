@@ -160,6 +160,21 @@ def test_token_counts(spark, odd_docs, no_docs):
     assert token_counts.token_counts(no_docs, PIECES).count() == 0
 
 
+def test_token_counts_query_reads_the_full_vocabulary(spark, odd_docs, tmp_path):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = {sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    more = [(20, "2024"), (21, "4111111111111111"), (22, "日本 中 한 ñandú ça ß"), (23, "a▁b ▁▁▁ the"), (24, "\ue123 ok")]
+    short = odd_docs.where("text is null or length(text) < 5000").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    short.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for r in short.collect():
+        n = [greedy("▁" + w, pieces, pieces) for w in WORD.findall(r.text or "")]
+        want.append((r.doc_id, len(n), sum(1 if x < 0 else x for x in n), sum(x < 0 for x in n)))
+    got = list(map(tuple, token_counts.op7_token_counts(spark, str(tmp_path)).collect()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(20, 1, 5, 0), (21, 1, 17, 0)} <= set(got) and {r[0]: r[3] for r in got}[22] == 0 and {r[0]: r[3] for r in got}[24] == 1
+
+
 # -- language ID -----------------------------------------------------------------------------------------------------
 
 
