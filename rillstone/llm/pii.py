@@ -2,13 +2,15 @@
 
 1. Seeds: e-mail addresses, IP addresses, payment cards and phone numbers that fixed patterns and their checks find in whole
    texts (leftmost, non-overlapping by kind; failing matches are dropped without retries).
-2. Candidates: runs of one to three tokens with digits or an at sign that overlap no seed, and the seeds themselves. Each one
-   has lexical patterns: its shape (digits, letters, punctuation) and the words before and after it with its coarse shape.
+2. Candidates: runs of one to three tokens with digits or an at sign that overlap no seed, longer runs beside a word with as
+   many digits as a phone or card has, and the seeds themselves. Each one has lexical patterns: its shape (digits, letters,
+   punctuation), the words before and after it with its coarse shape, and, for forms that no seed has, the words before and
+   after it with the kinds whose number of digits or whose mark (at sign, address) it has.
 3. Pattern-instance graph: Spark counts distinct (pattern, instance) edges. By rounds, a pattern's confidence in a kind is
    the mean score of its instances with one doubtful instance added, an instance's score the best confidence of its patterns
    that at least ``support`` distinct seeds induced. Seeds keep score 1.
 4. Candidates whose score reaches ``accept`` and that pass their kind's checks (e.g. a card that a fixed pattern ran together
-   with the phone number beside it) are added, best and longest first, where they overlap nothing of their kind.
+   with the phone number beside it, a phone without plus, an address with other letters, an IPv6 address) are added, best and longest first, where they overlap nothing of their kind.
 
 Defined results: null text counts as empty; an empty text has no spans (digest of the empty string); texts are read whole in
 linear time; repeated rows get equal rows; extra columns are ignored.
@@ -17,6 +19,7 @@ linear time; repeated rows get equal rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -32,6 +35,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+WIDE = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'`#*$%&|<>[]{}"
 ROUNDS, SUPPORT, ACCEPT = 3, 5, 0.85
@@ -50,12 +54,19 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+def ipv6(s: str) -> bool:
+    try:
+        return ":" in s and bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 def valid(kind: int, s: str) -> bool:
-    """The check of a kind on a string of its form."""
+    """The check of a kind on a string of its form; wider than the base patterns where a kind has other forms."""
     if kind == 0:
-        return "@" in s and DOMAIN.fullmatch(s.rpartition("@")[2]) is not None and set(s.rpartition("@")[0]) <= LOCAL and s[0] != "@"
+        return WIDE.fullmatch(s) is not None
     if kind == 1:
-        return IP.fullmatch(s) is not None and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or 0) <= 255 for p in s.split("."))
+        return ipv6(s) or IP.fullmatch(s) is not None and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or 0) <= 255 for p in s.split("."))
     d = digits(s)
     if kind == 2:
         return CARD.fullmatch(s) is not None and 13 <= len(d) <= 19 and luhn(d)
@@ -94,8 +105,19 @@ def coarse(s: str) -> str:
     return "".join(dict.fromkeys(shape(s)))
 
 
+def forms(s: str) -> list[str]:
+    """The kinds that a string may be of by its number of digits or its mark, whatever other characters it has."""
+    if "@" in s:
+        return ["email"]
+    if valid(1, s):
+        return ["ip"]
+    n = len(digits(s))
+    return ["phone"] * (9 <= n <= 15) + ["card"] * (13 <= n <= 19)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and other runs of up to three tokens with digits or an at sign, with their patterns."""
+    """Seeds and other runs of tokens with digits or an at sign, with their patterns. Runs of more than three tokens have 9 to 19
+    digits and a word, not a number, on one side at least, so a list of numbers has few."""
     found: dict[tuple[int, int], int] = {(a, b): k for k, a, b in base}
     taken = sorted(found)
     tokens = []
@@ -108,11 +130,22 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         tokens.append((a, TOKEN.match(text, a).end()))
     spans: dict[tuple[int, int], int] = dict(found)
     k = 0
+
+    def beside(i: int) -> bool:
+        """Whether only one blank parts a token from the next."""
+        return 0 <= i < len(tokens) - 1 and tokens[i][1] + 1 == tokens[i + 1][0]
+
     for i in range(len(tokens)):
-        for n in range(1, 4):
-            if i + n > len(tokens) or any(tokens[j][1] + 1 != tokens[j + 1][0] for j in range(i, i + n - 1)):
+        for n in range(1, 20):  # no kind has more than 19 digits
+            if i + n > len(tokens) or n > 1 and not beside(i + n - 2):
                 break
             a, b = tokens[i][0], tokens[i + n - 1][1]
+            if n > 3:
+                size = len(digits(text[a : min(b, a + 200)]))
+                if size > 19 or b - a > 200:
+                    break
+                if size < 9 or beside(i - 1) and beside(i + n - 1):
+                    continue
             while b > a and text[b - 1] in EDGE + ")" and not (text[b - 1] == ")" and "(" in text[a:b]):
                 b -= 1
             while a < b and text[a] in EDGE:
@@ -126,10 +159,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     out = []
     for (a, b), kind in sorted(spans.items()):
         s = text[a:b]
-        left = text[max(0, a - 40) : a].split()[-1:] or ["^"]
-        right = text[b : b + 40].split()[:1] or ["$"]
+        left = ["^", *text[max(0, a - 40) : a].lower().split()[-2:]]
+        right = [*text[b : b + 40].lower().split()[:2], "$"]
         c = coarse(s)
-        out.append({"start": a, "end": b, "surface": s, "seed": kind, "patterns": [f"s {shape(s)}", f"l {left[0].lower()} {c}", f"r {right[0].lower()} {c}"]})
+        patterns = [f"s {shape(s)}", f"l {left[-1]} {c}", f"r {right[0]} {c}"]
+        for form in forms(s):
+            patterns += [f"l1 {left[-1]} {form}"] * (len(left) > 1) + [f"l2 {' '.join(left[-2:])} {form}"] * (len(left) > 1) + [f"r2 {' '.join(right[:2])} {form}"] * (len(right) > 1)
+        out.append({"start": a, "end": b, "surface": s, "seed": kind, "patterns": patterns})
     return out
 
 

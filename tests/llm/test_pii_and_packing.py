@@ -56,6 +56,27 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[99] == "phone:11:28" and got[100] == "" and got[3] == "phone:11:28"
 
 
+def test_context_discovers_unseen_forms(spark):
+    seen = [(i, f"call me at +1 ({200 + i}) 555-{1000 + i} today, write to u{i}@x{i}.example.com soon, from host 10.0.{i}.7 there") for i in range(80)]
+    found = {
+        "(017) 555-7713": "phone", "017-555-7713": "phone", "06 12 34 56 78": "phone", "017.555.7713": "phone",
+        "jane@b\u00fccher.example": "email", "2001:db8::17": "ip",
+    }
+    lead = {"phone": "call me at", "email": "write to", "ip": "from host"}
+    rows = [(100 + i, f"{lead[k]} {x} at once") for i, (x, k) in enumerate(found.items())]
+    more = [(200, "order 017-555-7713-2 of 2024"), (201, "call me at 5pm"), (202, "rows 1 2 3 4 5 6 7 8 9 10 11 12 13 of 017 555 7799"), (203, "from host 12:30:45 at once")]
+    df = spark.createDataFrame(seen + rows + more, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for i, (x, k) in enumerate(found.items()):
+        assert got[100 + i] == f"{k}:{len(lead[k]) + 1}:{len(lead[k]) + 1 + len(x)}", x
+    assert [got[i] for i, _ in more] == [""] * 4
+    assert [r.text for r in pii.redact(df).where("doc_id in (100, 105)").orderBy("doc_id").collect()] == ["call me at [PHONE] at once", "from host [IP] at once"]
+
+
+def test_long_runs_are_few():
+    assert len(pii.candidates("9 " * 20_000, [])) < 3 * 20_000 + 100
+
+
 def test_redaction(odd_docs):
     out = pii.redact(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
