@@ -2,13 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
 All but the last keep the columns of documents. Null texts count as empty; texts are read whole; repeated rows are copies of
-one document, of which the near-duplicate stage keeps one.
+one document, of which the near-duplicate stage keeps one. Rows without id and rows of equal id and different text are documents
+of their own.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.llm import common, language_id, packing, pii, simhash, substring_dedup
@@ -22,16 +23,19 @@ def keep_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near-duplicates."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = common.stored(kept, "pipeline-kept")
+    """One document of each group of near-duplicates, the one of smallest id; rows without id come after all others. Groups are
+    of texts alone: rows without id and rows that share an id stay unless their texts are near-copies."""
+    # the key stands for a whole row; a flag for nulls keeps a value from counting for its neighbour's
+    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    groups = simhash.near_groups(docs.withColumn("__key", key), keep=("__key",))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", F.col("__key").alias("key"))).alias("first"))
+    kept = common.stored(first.select(F.col("first.key").alias("__kept")), "pipeline-kept")
     # kept has no bound, so it is never broadcast: the plan is the same at every size
-    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    again = common.stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "pipeline-again")
-    once = rows.join(again.hint("merge"), F.col("doc_id") == F.col("__again"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"])
-    more = rows.join(again.hint("merge"), F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return once.select(*docs.columns).union(more.select(*docs.columns))
+    rows = docs.withColumn("__key", key).join(kept.hint("merge"), F.col("__key") == F.col("__kept"), "left_semi")
+    again = common.stored(rows.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__key").alias("__again")), "pipeline-again")
+    once = rows.join(again.hint("merge"), F.col("__key") == F.col("__again"), "left_anti")
+    more = rows.join(again.hint("merge"), F.col("__key") == F.col("__again"), "left_semi").select(*docs.columns).distinct()
+    return once.select(*docs.columns).union(more)
 
 
 def remove_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,14 +54,14 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """(id, fp) with the fingerprint as a signed long, and the columns of longs to keep."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64)), *[batch.column(c) for c in keep]], ["id", "fp", *keep])
 
-    return map_text(text_rows(docs, id_col, text_col), "text", one, "id long, fp long")
+    return map_text(text_rows(docs, id_col, text_col, keep), "text", one, ", ".join(["id long, fp long", *[f"{c} long" for c in keep]]))
 
 
 def grow(points: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,5 +170,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def near_groups(docs: DataFrame, keep: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, group) and the columns of longs to keep, for every row; group is the smallest fingerprint reachable over links. Ids
+    play no part, so rows without id have groups and rows that share an id are in one group only if their texts are near."""
+    rows = stored(fingerprints(docs, id_col, text_col, keep), "simhash")
+    points = stored(rows.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-points")
+    found = connected_components(near_edges(points)).select(F.col("id").alias("rep"), F.col("component").alias("found"))
+    named = stored(points.join(found, "rep", "left").select("fp", F.coalesce("found", "fp").alias("group")), "simhash-named")
+    settle(docs.sparkSession)
+    return rows.join(named, "fp").select("id", "fp", "group", *keep)
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

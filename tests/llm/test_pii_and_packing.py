@@ -164,6 +164,16 @@ def test_pipeline_stages(spark, data, odd_docs):
     assert len(ids) == len(set(ids)) and 5 not in ids and 7 not in ids and 1 not in ids and 15 not in ids
 
 
+def test_groups_are_of_texts_not_of_ids(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, one, "en", None, None), (None, two, "en", "s", 1), (5, three, "en", None, None), (5, four, "en", None, None), (7, three, "en", None, None), (None, four, "fr", None, None), (5, four, "en", None, None), (None, one, "en", None, None), (None, one, None, "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_one_of_each_group(spark, df, None).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, one), (None, two), (5, three), (5, four)], key=str)
+
+
 def test_pipeline_run(spark, data):
     import corpus_pipeline
 
