@@ -6,6 +6,10 @@ grandparent; names that speak for or against an article shift a container's poin
 The best container is kept with siblings that score a fifth of it or read like its text; menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
 
+Names against a container don't count where a name of its own speaks for it, or where they only say what it has, lacks or is
+tagged with. When the result is empty or far below the page's text outside links, scoring is repeated with names against as a
+malus only (those of comments, notices and adverts once all else is empty), and the longer text is taken.
+
 Defined results: null or empty html, or a page without text: empty text, length 0; malformed markup is read as far as it goes
 and never raises; pages of any length are read whole in linear time; repeated rows repeat; other columns are ignored.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,24 +54,44 @@ AGAINST = re.compile(
     re.I,
 )
 FOR = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story|column)(?:$|[-_\s]|\d)", re.I)
+#: Names that speak for a container by themselves, also beside a name against it.
+RESCUE = re.compile(r"(?:^|[-_])(?:article|content|entry|hentry|h-entry|main|post|story|blog)(?:$|[-_]|\d)")
+#: Names against that hold in the second scoring too.
+HARD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|comments?|comment-\w+|disqus|respond|replies|reply|discussion|hidden)(?:$|[-_\s]|\d)", re.I)
+#: Parts of names that say what a container has, lacks or is tagged with.
+MODIFIER = re.compile(r"^tag[-_](?!cloud|list|links?$).*|(?:^|[-_])(?:has|have|no|not|with|without|hide|show)[-_].*|.*[-_](?:enabled|disabled)$")
+#: Share of the page's text outside links below which a result is far too little.
+FAR = 0.2
 BASE = {"article": 25, "main": 20, "section": 3, "div": 5, "td": 3, "blockquote": 3, "body": 0}
 
 
+@lru_cache(10_000)
+def judged(names: str) -> tuple[bool, int]:
+    """Whether names speak for a container, and how they speak against it: 0 not, 1 in the first scoring, 2 in the second too."""
+    words = [x for w in names.lower().split() if (x := MODIFIER.sub("", w))]
+    for_it = any(FOR.search(w) for w in words)
+    if any(RESCUE.search(w) and not AGAINST.search(w) for w in words):
+        return for_it, 0
+    bad = [w for w in words if AGAINST.search(re.sub("widgets?", "", w) if for_it else w)]  # page builders call every part a widget
+    return for_it, 0 if not bad else 2 if any(HARD.search(w) for w in bad) else 1
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "points", "drop", "weight", "inner", "links")
+    __slots__ = ("tag", "parent", "parts", "points", "drop", "named", "weight", "inner", "links")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
         self.points, self.weight, self.inner, self.links = 0.0, 0, 0, 0
-        self.drop = tag in DROPPED
+        self.drop, self.named = tag in DROPPED, 0
         if attributes and "=" in attributes and not self.drop and tag not in ("html", "body"):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}"
             self.drop = found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
             if names != " ":
-                for_it, against = bool(FOR.search(names)), bool(AGAINST.search(names))
-                self.drop |= against and not (for_it and tag in ("article", "main"))
-                self.weight = 25 * for_it
+                for_it, against = judged(names)
+                if against and not self.drop and not (for_it and tag in ("article", "main")):
+                    self.drop, self.named = True, against
+                self.weight = 25 * for_it - 50 * (self.named > 0)
 
 
 def parse(page: str) -> Node:
@@ -166,11 +191,42 @@ def pieces(root: Node) -> list[str]:
     return out
 
 
+def measure(nodes: list[Node]) -> int:
+    """Sets the text and link text inside nodes; the root's text outside links."""
+    for node in nodes:
+        node.inner = node.links = 0
+    for node in reversed(nodes):
+        node.inner += sum(len(p.strip()) for p in node.parts if type(p) is str)
+        if node.tag == "a":
+            node.links = node.inner
+        if node.parent:
+            node.parent.inner += node.inner
+            node.parent.links += node.links
+    return nodes[0].inner - nodes[0].links
+
+
 def main_text(page: str | None) -> str:
     """The article of a page as one line of text."""
     if not page:
         return ""
     root = parse(page)
+    text = scored_text(root)
+    for level in (1, 2):
+        if level == 2 and text:
+            break
+        named = [root]
+        for node in named:
+            named += [p for p in node.parts if type(p) is not str and (not p.drop or 0 < p.named <= level)]
+        named = [n for n in named if n.drop]
+        for node in named:
+            node.drop = False
+        if named and (not text or len(text) < FAR * measure(nodes_of(root))):
+            text = max(text, scored_text(root), key=len)
+    return text
+
+
+def scored_text(root: Node) -> str:
+    """The best container of a tree and its kept siblings as one line of text."""
     nodes = nodes_of(root)
     own: dict[int, list[str]] = {}
     for node in nodes:  # running text goes to the nearest block
@@ -180,13 +236,7 @@ def main_text(page: str | None) -> str:
             while block.tag in INLINE and block.parent:
                 block = block.parent
             own.setdefault(id(block), []).extend(text)
-    for node in reversed(nodes):
-        node.inner += sum(len(p.strip()) for p in node.parts if type(p) is str)
-        if node.tag == "a":
-            node.links = node.inner
-        if node.parent:
-            node.parent.inner += node.inner
-            node.parent.links += node.links
+    measure(nodes)
     scored: dict[int, Node] = {}
 
     def give(node: Node | None, points: float) -> None:
@@ -195,7 +245,7 @@ def main_text(page: str | None) -> str:
         if node is not None:
             if id(node) not in scored:
                 scored[id(node)] = node
-                node.points += BASE.get(node.tag, 0) + node.weight
+                node.points = BASE.get(node.tag, 0) + node.weight
             node.points += points
 
     for node in nodes:

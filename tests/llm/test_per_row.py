@@ -30,6 +30,25 @@ def test_main_text(wrap):
     assert html_extract.main_text(PAGE.format(wrap.format(BODY))) == TEXT
 
 
+@pytest.mark.parametrize("names", ["content has-sidebar", "site-content no-sidebar", "main-content-with-sidebar", "post type-post tag-news", "entry-content share-enabled", "elementor-widget-text-editor", "elementor-widget"])
+@pytest.mark.parametrize("outside", ["", "<p>a line, outside</p>"])
+def test_names_that_match_by_chance_keep_the_article(names, outside):
+    body = BODY + "<p>A longer paragraph, with much more text, that tells the rest of it.</p>" * 8
+    want = " ".join([TEXT, *["A longer paragraph, with much more text, that tells the rest of it."] * 8])
+    got = html_extract.main_text(PAGE.format(f"{outside}<div class='{names}'>{body}</div>"))
+    assert want in got and "reader" not in got and "cookies" not in got and "other, things" not in got
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-content", "related", "widget", "share", "tags", "comment-body"])
+def test_named_boilerplate_stays_out(name):
+    page = PAGE.format(f"<div id='content'>{BODY}</div><div class='{name}'><p>boiler, plate, of the side</p></div>")
+    assert html_extract.main_text(page) == TEXT
+
+
+def test_only_text_of_a_page_is_kept():
+    assert html_extract.main_text("<div class='discussion'><p>the only, text</p></div>") == "the only, text"
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a, b", "a, b"), ("<script>x</script>", ""), ("<nav>x</nav>", ""), ("<article><p>x</p></article", "x"), ("</div></p>", ""), ("<!-- x", "")])
 def test_odd_pages(page, want):
     assert html_extract.main_text(page) == want
