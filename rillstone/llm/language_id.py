@@ -32,11 +32,10 @@ from .common import ChunkTable, map_text, mix64, table
 TRAIN_ROWS = 4000
 ORDERS = (1, 2, 3, 4)
 SHARE = 0.4
-#: Positions of the filters; a power of two. Eight positions for a pair at four probes keep false positives below 3 %.
+#: Least positions of the filters; a power of two. Eight positions for a pair at four probes keep false positives below 3 %, so
+#: filters have eight at least for each gram of the language that has the most.
 SLOTS = 1 << 21
 PROBES = 4
-#: Most grams kept for a language, most frequent first: bounds what reaches the driver and the filters' fill.
-MOST_GRAMS = 100_000
 #: Words whose grams are looked up at once.
 BLOCK = 20_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -117,8 +116,9 @@ class Filters:
         return np.array(fill) ** PROBES
 
 
-def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, share: float = SHARE, most_grams: int = MOST_GRAMS) -> Filters:
-    """Filters from rows (id, lang, text); rows without language or text are left out."""
+def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, share: float = SHARE) -> Filters:
+    """Filters from rows (id, lang, text); rows without language or text are left out. All grams of the sample that belong to a
+    language are kept; they reach the driver by language."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
@@ -132,11 +132,14 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, share: float = SHARE, mos
     weight = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, 1.0 / n)]) if totals else F.lit(None)
     rated = counts.withColumn("rate", F.col("n") * weight[F.col("lang")]) if totals else counts.withColumn("rate", F.lit(0.0))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = rated.join(best, "gram").where(F.col("rate") >= share * F.col("best")).select("lang", "gram", "rate")
-    filters = Filters(languages)
+    kept = rated.join(best, "gram").where(F.col("rate") >= share * F.col("best")).select("lang", "gram")
+    kept.persist()
+    most = kept.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    filters = Filters(languages, max(SLOTS, 1 << (8 * most - 1).bit_length() if most else 0))
     for i, lang in enumerate(languages):
-        grams = kept.where(F.col("lang") == lang).orderBy(F.desc("rate"), "gram").limit(most_grams).select("gram").toPandas()["gram"].to_numpy(np.int64)
+        grams = kept.where(F.col("lang") == lang).select("gram").toPandas()["gram"].to_numpy(np.int64)
         filters.add(i, grams.view(np.uint64))
+    kept.unpersist()
     counts.unpersist()
     return filters
 

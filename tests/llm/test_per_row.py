@@ -217,6 +217,18 @@ def test_language_edge_cases(spark, odd_docs, no_docs):
     assert language_id.identify(none).first().lang_pred == "und"
 
 
+def test_filters_hold_all_grams_of_a_large_alphabet(spark):
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = ["".join(chr(0x4E00 + rnd.randrange(20_000)) for _ in range(40)) for _ in range(3000)]
+    rows = [(i, "zh", " ".join(words[k] for k in range(i // 2 % 10, 3000, 10))) for i in range(20)] + [(i + 100, "en", "some plain words of text") for i in range(20)]
+    filters = language_id.fit(spark.createDataFrame(rows, "id long, lang string, text string"))
+    own = np.unique(np.concatenate([h[a:b] for h, begin, end in language_id.gram_hashes(words) for a, b in zip(begin, end, strict=True)]))
+    assert len(own) > 300_000 and filters.hits(filters.masks(own))[:, filters.languages.index("zh")].all()
+    assert filters.slots >= 8 * len(own) and filters.false_rates().max() < 0.03
+
+
 def test_filters_hold_what_was_added():
     import numpy as np
 
