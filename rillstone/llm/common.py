@@ -62,9 +62,23 @@ def held_of_stage() -> dict:
     stage = task.stageId() if task else None
     if stage != _held["stage"]:
         _held["stage"], _held["items"] = stage, {}
+        _give_back()
     return _held["items"]
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the system, so that what an earlier stage needed doesn't stay with the worker."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def held(key, make: Callable):
     """make() once for the tasks of a stage in a worker process."""
     items = held_of_stage()
@@ -125,6 +139,22 @@ class ChunkTable:
         return self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
 
 
+def rebuilt(df: DataFrame, columns: list, column: str, extra: dict, fn: Callable[[list, pa.RecordBatch], list]) -> DataFrame:
+    """The columns of df with the texts of one replaced: fn(texts, batch) gives the new ones, batch holds the ``extra`` columns by name.
+    Columns go by position inside, so none of their names can clash; slices are bounded as in ``map_text``."""
+    schema = df.select(*columns).schema
+    names = [f"c{i}" for i in range(len(columns))]
+    at = schema.names.index(column)
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
+    rows = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)], *[c.alias(n) for n, c in extra.items()])
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pa.array(fn(batch.column(names[at]).to_pylist(), batch), pa.string())
+        return pa.RecordBatch.from_arrays([texts if i == at else batch.column(n) for i, n in enumerate(names)], names)
+
+    return map_text(rows, names[at], one, fields).toDF(*schema.names)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads 64-bit values."""
     x = x.astype(np.uint64, copy=True)
@@ -159,13 +189,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _at(spark, path)
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    fs, target = _at(spark, path)
+    fs.delete(target, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables that ``stored`` wrote; call it when what was derived from them is itself written."""
     for df in frames:
-        spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove(df.sparkSession, path)
 
 
 def settle(spark: SparkSession) -> None:

@@ -120,13 +120,52 @@ def test_passages(spark, odd_docs, no_docs, docs):
     assert substring_dedup.deduplicated(no_docs).count() == 0
 
 
-def test_removed_keeps_columns(odd_docs):
-    out = substring_dedup.removed(odd_docs)
-    assert out.columns == odd_docs.columns
+def test_removed_keeps_columns(odd_docs, no_docs):
+    clash = odd_docs.selectExpr("*", "1 as key", "2 as marks", "3 as c1", "4 as `row`", "5 as __key")
+    out = substring_dedup.removed(clash)
+    assert out.columns == clash.columns and out.schema["c1"].dataType.typeName() == "integer" and {tuple(r)[-5:] for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    assert substring_dedup.removed(no_docs).count() == 0
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[8] == "" and texts[9] == "x y z q r s" and texts[1] is None and texts[14].count("\n") == 4 and texts[13] == ""
 
 
+def test_index_grows_by_batches_of_several_sessions(spark, docs, tmp_path):
+    rows = substring_dedup.keyed(docs, "doc_id", "text").select("key", "text").cache()
+    folder = f"file://{tmp_path}/index"
+    plans = []
+    for b in range(5):
+        index = substring_dedup.FingerprintIndex(spark.newSession(), folder, buckets=3)
+        index.ingest(rows.where(f"pmod(key, 5) = {b}"))
+        for run, _ in index.state["runs"][:-1]:
+            plans.append(index.merged(run, index.state["runs"][-1][0])._jdf.queryExecution().executedPlan().toString())
+            plans.append(index.repeating(index.state["runs"][-1][0], [run])._jdf.queryExecution().executedPlan().toString())
+    assert plans and all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+    index = substring_dedup.FingerprintIndex(spark.newSession(), folder)
+    assert index.state["batches"] == 5 and [t for _, t in index.state["runs"]] == [2, 0] and index.state["buckets"] == 3
+    counts = collections.Counter()
+    for r in substring_dedup.postings_of(rows).collect():
+        counts.update(r.anchors)
+    held = collections.Counter()
+    for run, _ in index.state["runs"]:
+        held.update({r.anchor: r.n for r in index.run(run).collect()})
+    assert held == counts
+    marks = lambda df: {r.key: sorted(map(tuple, r.marks)) for r in df.collect()}
+    got = marks(substring_dedup.removal_marks(rows, index.repeated().sparkSession.createDataFrame(index.repeated().collect(), "key long, anchors array<long>")))
+    assert got and got == marks(substring_dedup.marked_at_once(rows))
+    newest = {r.key for r in rows.where("pmod(key, 5) = 4").collect()}
+    late = {r.key: set(r.anchors) for r in index.repeated(since=4).collect()}
+    own = {r.key: set(r.anchors) for r in substring_dedup.postings_of(rows.where("pmod(key, 5) = 4")).collect()}
+    want = {a for k in newest for a in own[k] if counts[a] > 1}
+    assert set().union(*late.values()) == want
+    index.drop()
+
+
+def test_long_runs_of_one_anchor(spark):
+    rows = [(1, "a " * 400), (2, "b c " * 90 + "d"), (3, "x y z " + "b c " * 40), (4, "a " * 34), (5, " ".join(f"u{i}" for i in range(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.deduplicated(df).collect()), key=str) == slow_removal(rows)
+
+
 def test_spans_by_doubling():
     h = np.random.default_rng(0).integers(0, 1 << 63, 100).astype(np.uint64)
     for n in (1, 2, 3, 8, 35):
