@@ -10,10 +10,16 @@
    the mean score of its instances with one doubtful instance added, an instance's score the best confidence of its patterns
    that at least ``support`` distinct seeds induced. Seeds keep score 1.
 4. Candidates whose score reaches ``accept`` and that pass their kind's checks (e.g. a card that a fixed pattern ran together
-   with the phone number beside it, a phone without plus, an address with other letters, an IPv6 address) are added, best and longest first, where they overlap nothing of their kind.
+   with the phone number beside it, a phone without plus, an address with other letters, an IPv6 address) are added, best and
+   longest first, where they overlap no base span and no addition of any kind.
+
+Addresses may be of any length; runs of digits are at most WIDEST characters long, which no form of phone, card or IP address
+exceeds. Neighbouring words are read whole.
 
 Defined results: null text counts as empty; an empty text has no spans (digest of the empty string); texts are read whole in
-linear time; repeated rows get equal rows; extra columns are ignored.
+linear time; repeated rows get equal rows; rows without id count like others; an empty table gives no rows; extra columns are
+ignored, or kept by ``redact`` whatever their names; of equal scores the longer, then the earlier span wins, then the kind that
+is listed first.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, stored, table
+from .common import map_text, rebuilt, stored, table
 
 # fixed values: kinds in their order, character classes and bounds of the base patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -35,9 +41,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+LOOSE = re.compile(r"[+(]{0,3}[0-9](?:[\x20().-]{0,3}[0-9])*\)?")
 WIDE = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'`#*$%&|<>[]{}"
+#: A phone has up to 15 digits and at most three marks between two of them; cards and IP addresses are shorter.
+WIDEST = 64
 ROUNDS, SUPPORT, ACCEPT = 3, 5, 0.85
 SPAN = "array<struct<start:int,end:int,surface:string,seed:int,patterns:array<string>>>"
 
@@ -70,7 +79,7 @@ def valid(kind: int, s: str) -> bool:
     d = digits(s)
     if kind == 2:
         return CARD.fullmatch(s) is not None and 13 <= len(d) <= 19 and luhn(d)
-    return 9 <= len(d) <= 15 and set(s) <= set("+0123456789 ().-")
+    return 9 <= len(d) <= 15 and len(s) <= WIDEST and LOOSE.fullmatch(s) is not None
 
 
 def emails(text: str):
@@ -115,6 +124,17 @@ def forms(s: str) -> list[str]:
     return ["phone"] * (9 <= n <= 15) + ["card"] * (13 <= n <= 19)
 
 
+def words_beside(text: str, at: int, after: bool) -> list[str]:
+    """The two words before or after a position, or what there is of them, whole and in lower case."""
+    size = 40
+    while True:
+        part = text[at : at + size] if after else text[max(0, at - size) : at]
+        words = part.split()
+        if len(words) > 2 or len(part) < size:  # the outermost of three words may be cut
+            return [w.lower() for w in (words[:2] if after else words[-2:])]
+        size *= 4
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and other runs of tokens with digits or an at sign, with their patterns. Runs of more than three tokens have 9 to 19
     digits and a word, not a number, on one side at least, so a list of numbers has few."""
@@ -142,7 +162,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             a, b = tokens[i][0], tokens[i + n - 1][1]
             if n > 3:
                 size = len(digits(text[a : min(b, a + 200)]))
-                if size > 19 or b - a > 200:
+                if size > 19 or b - a > 200:  # wider than any form, blanks and marks at its ends included
                     break
                 if size < 9 or beside(i - 1) and beside(i + n - 1):
                     continue
@@ -150,17 +170,20 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
                 b -= 1
             while a < b and text[a] in EDGE:
                 a += 1
-            if b - a < 4 or b - a > 100:
+            if b - a < 4 or b - a > WIDEST and (n > 1 or "@" not in text[a:b]):
                 continue
             while k < len(taken) and taken[k][1] <= tokens[i][0]:
                 k += 1
-            if not any(s < b and a < e for s, e in taken[k : k + 8]):
+            j = k
+            while j < len(taken) and taken[j][0] < b and taken[j][1] <= a:
+                j += 1
+            if j == len(taken) or taken[j][0] >= b:
                 spans.setdefault((a, b), -1)
     out = []
     for (a, b), kind in sorted(spans.items()):
         s = text[a:b]
-        left = ["^", *text[max(0, a - 40) : a].lower().split()[-2:]]
-        right = [*text[b : b + 40].lower().split()[:2], "$"]
+        left = ["^", *words_beside(text, a, False)]
+        right = [*words_beside(text, b, True), "$"]
         c = coarse(s)
         patterns = [f"s {shape(s)}", f"l {left[-1]} {c}", f"r {right[0]} {c}"]
         for form in forms(s):
@@ -243,28 +266,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sett
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; other columns stay."""
-    spans = find(docs, id_col, text_col, **settings).where("spans <> ''").select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).groupBy("__key").agg(F.min("__spans").alias("__spans"))
+    spans = find(docs, id_col, text_col, **settings).where("spans <> ''").groupBy("key").agg(F.min("spans").alias("spans"))
     spans = stored(spans, "pii-spans")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    marked = keyed.join(spans.hint("merge"), "__key", "left")
-
-    @F.pandas_udf("string")
-    def masked(text, spans):
-        import pandas as pd
-
-        def one(t, s):
-            if not s or t is None:
-                return t
-            out, last = [], 0
-            for a, b, k in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in s.split(","))):
-                if b > last:
-                    out += [t[last:a] if a > last else "", f"[{k.upper()}]"]
-                    last = b
-            return "".join([*out, t[last:]])
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    return marked.withColumn(text_col, masked(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    row, key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    marked = docs.select(row.alias("row"), key.alias("key")).join(spans.hint("merge"), "key", "left")
+
+    def masked(texts: list, batch: pa.RecordBatch) -> list:
+        return [t if t is None or not s else mask(t, s) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+
+    return rebuilt(marked, [F.col("row")[c].alias(c) for c in docs.columns], text_col, {"spans": F.col("spans")}, masked)
+
+
+def mask(text: str, spans: str) -> str:
+    """A text with its spans replaced by their kinds in brackets; of overlapping ones the first gives the kind."""
+    out, last = [], 0
+    for a, b, k in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))):
+        if b > last:
+            out += [text[last:a] if a > last else "", f"[{k.upper()}]"]
+            last = b
+    return "".join([*out, text[last:]])
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

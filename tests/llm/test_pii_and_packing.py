@@ -77,7 +77,58 @@ def test_long_runs_are_few():
     assert len(pii.candidates("9 " * 20_000, [])) < 3 * 20_000 + 100
 
 
-def test_redaction(odd_docs):
+def test_forms_and_contexts_have_no_caps():
+    long_mail = "a" * 150 + "@" + "b" * 150 + ".example.com"
+    text = f"{'x' * 90} {'y' * 90} {long_mail} {'z' * 90}"
+    (c,) = pii.candidates(text, [])
+    assert c["surface"] == long_mail and f"l2 {'x' * 90} {'y' * 90} email" in c["patterns"] and f"r {'z' * 90} {pii.coarse(long_mail)}" in c["patterns"]
+    many = " ".join(f"1.1.1.{i}" for i in range(30))
+    assert all(not any(a < e and s < b for _, s, e in pii.seeds(many)) for a, b in ((c["start"], c["end"]) for c in pii.candidates(many, pii.seeds(many)) if c["seed"] < 0))
+    assert pii.valid(3, "017.555.7713") and pii.valid(3, "+1 (269) 555-3296") and not pii.valid(3, "017      555 7713") and not pii.valid(3, "1+2345678901")
+
+
+def slow_learning(rows, rounds, support, accept):
+    """Scores of a small pattern-instance graph, from lists of candidates."""
+    edges, seed = {}, {}
+    for c in rows:
+        for p in c["patterns"]:
+            edges.setdefault(c["surface"], set()).add(p)
+            seed[c["surface"], p] = max(seed.get((c["surface"], p), -1), c["seed"])
+    first = {(s, k): 1.0 for (s, _), k in seed.items() if k >= 0}
+    known = {s for s, _ in first}
+    scores = dict(first)
+    for _ in range(rounds):
+        good = {}
+        for p in {p for ps in edges.values() for p in ps}:
+            members = [s for s, ps in edges.items() if p in ps]
+            for k in range(4):
+                if sum(seed[s, p] == k and (s, k) in scores for s in members) >= support:
+                    confidence = sum(scores.get((s, k), 0.0) for s in members) / (len(members) + 1)
+                    if confidence >= accept:
+                        good[p, k] = confidence
+        scores = dict(first)
+        for s, ps in edges.items():
+            for k in range(4):
+                best = max((v for (p, j), v in good.items() if j == k and p in ps and seed[s, p] < 0), default=0)
+                if best and s not in known:
+                    scores[s, k] = best
+    return {k: v for k, v in scores.items() if k[0] not in known and v < 1}
+
+
+def test_learning_equals_a_plain_graph(spark, docs):
+    rows = [(i, f"call me at +1 ({200 + i}) 555-{1000 + i} today, write to u{i}@x{i}.example.com soon") for i in range(60)] + [(90 + i, f"call me at 0{100 + i} 555 77{10 + i} today or {i}000 of 12 345") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    found = pii.scan(df).cache()
+    cands = [c.asDict() for r in found.collect() for c in r.cands]
+    got = {(r.surface, r.kind): r.score for r in pii.learn(found).collect()}
+    want = slow_learning(cands, pii.ROUNDS, pii.SUPPORT, pii.ACCEPT)
+    assert got.keys() == want.keys() and got and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_redaction(odd_docs, no_docs):
+    assert pii.redact(no_docs).count() == 0
+    clash = odd_docs.selectExpr("*", "1 as key", "2 as `row`", "3 as c1", "4 as __key")
+    assert {tuple(r)[-4:] for r in pii.redact(clash).collect()} == {(1, 2, 3, 4)}
     out = pii.redact(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     texts = {r.doc_id: r.text for r in out.collect()}
