@@ -252,10 +252,12 @@ class FingerprintIndex:
         if not self.state["batches"]:
             return self.spark.createDataFrame([], "key long, anchors array<long>")
         numbers = [f"{self.folder}/again/batch={b}" for b in range(since, self.state["batches"])]
-        again = self.spark.read.schema("anchor long").parquet(*numbers).distinct()
+        again = stored(self.spark.read.schema("anchor long").parquet(*numbers).distinct(), "passages-again")  # plain, so that Spark can split a hot anchor's postings
         every = self.spark.read.schema("key long, anchors array<long>").parquet(*[f"{self.folder}/postings/batch={b}" for b in range(self.state["batches"])])
         hits = every.select("key", F.explode("anchors").alias("anchor")).join(again.hint("merge"), "anchor")
-        return hits.groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+        out = stored(hits.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "passages-hits")
+        discard(again)
+        return out
 
     def _forget(self, run: str) -> None:
         self.spark.sql(f"drop table if exists {self._table(run)}")
@@ -310,7 +312,7 @@ def marked_at_once(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
         index.ingest(postings.where(F.col("batch") == b))
         settle(spark)
     discard(postings)
-    hits = stored(index.repeated(), "passages-hits")
+    hits = index.repeated()
     index.drop()
     marks = removal_marks(rows, hits)
     discard(hits)
