@@ -171,9 +171,12 @@ def ragged(values, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; a local default only where unset, as in tests)."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine serves a
+    local session, as in tests; a cluster has no such folder, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/rillstone-shared"

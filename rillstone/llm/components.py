@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = stored(both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "components-large")
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "components")
+        before, edges = edges, stored(small.distinct(), "components")
+        discard(before, least, large, low)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
         if now == seen:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
