@@ -180,6 +180,38 @@ def test_spans_by_doubling():
 # -- embeddings ------------------------------------------------------------------------------------------------------
 
 
+def test_collisions_are_counted_by_windows():
+    rnd = np.random.default_rng(3)
+    proj = rnd.standard_normal((300, 20)).astype(np.float32)
+    proj[150:] = proj[:150] + rnd.standard_normal((150, 20)).astype(np.float32) * np.float32(0.2)
+    proj[10] = proj[11]
+    a, b = embedding_dedup.collisions(proj, 0.5, 8, 5, 13)
+    hits = np.abs(proj[:, None] - proj[None]) <= np.float32(0.5)
+    want = (hits[:, :, :8].sum(axis=2) >= 5) & (hits.sum(axis=2) >= 13)
+    near = proj[:, None, :8] + np.float32(0.5)  # rounding at a window's very edge may differ
+    edge = (np.abs(np.abs(proj[:, None] - proj[None]) - 0.5) < 1e-5).any(axis=2)
+    assert near.size and {(i, j) for i, j in zip(*np.nonzero(want & ~edge)) if i < j} <= set(zip(a.tolist(), b.tolist())) and all(want[i, j] or edge[i, j] for i, j in zip(a, b)) and len(a) > 100
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.8])
+def test_cuts_keep_pairs_of_labels_that_lie_close_together(mean):
+    """Pairs at the threshold share a cell, whatever the mean cosine of a label."""
+    rnd = np.random.default_rng(8)
+    dim, n = 64, 4000
+    x = rnd.standard_normal((n, dim))
+    x = np.sqrt(mean) * np.eye(dim)[0] + np.sqrt(1 - mean) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = embedding_dedup.units(x)
+    y = rnd.standard_normal((n, dim))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * embedding_dedup.units(y)
+    center = x.mean(axis=0)
+    bits, rounds = embedding_dedup.cuts_for(300_000, 1 - center @ center, embedding_dedup.CELL, 0.93, embedding_dedup.CELL_RECALL)
+    assert bits >= 3
+    drawn = embedding_dedup.lines(dim, bits * rounds, 5)
+    side = [((z - center) @ drawn > 0).reshape(n, rounds, bits) for z in (x, y)]
+    assert (side[0] == side[1]).all(axis=2).any(axis=1).mean() >= 0.975
+
+
 @pytest.mark.parametrize(("cell", "block"), [(40, 1000), (100_000, 64)])
 def test_embeddings(spark, cell, block):
     rnd = np.random.default_rng(5)
