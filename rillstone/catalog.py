@@ -1,7 +1,7 @@
 """Definitions of sources, streams and sinks, kept as JSON files below a folder.
 
 All three kinds share one namespace. A definition is written to a new file and renamed into place, so a crash leaves the old
-or the new one. Checkpoints of streams are folders beside them.
+or the new one. Checkpoints of streams are folders that executors reach, too.
 """
 
 from __future__ import annotations
@@ -9,17 +9,22 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import zlib
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from . import storage
 from .errors import CatalogError
 
 KINDS = ("source", "stream", "sink")
 
 
 class Catalog:
-    def __init__(self, path: str):
-        self.path = Path(path)
-        for sub in ("definitions", "states", "checkpoints"):
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        """With a session checkpoints go to its shared folder, where executors reach them; else beside the definitions."""
+        self.path, self.spark = Path(path), spark
+        for sub in ("definitions", "states"):
             (self.path / sub).mkdir(parents=True, exist_ok=True)
 
     def _file(self, folder: str, name: str) -> Path:
@@ -56,10 +61,16 @@ class Catalog:
         self.clear_checkpoint(name)
 
     def checkpoint(self, name: str) -> str:
-        return str(self.path / "checkpoints" / name.lower().encode().hex())
+        own = name.lower().encode().hex()
+        if self.spark is None:
+            return str(self.path / "checkpoints" / own)
+        return f"{storage.shared_base(self.spark)}/streams/{zlib.crc32(str(self.path.absolute()).encode()):08x}/{own}"
 
     def clear_checkpoint(self, name: str) -> None:
-        shutil.rmtree(self.checkpoint(name), ignore_errors=True)
+        if self.spark is None:
+            shutil.rmtree(self.checkpoint(name), ignore_errors=True)
+        else:
+            storage.remove(self.spark, self.checkpoint(name))
 
     def state(self, name: str) -> dict:
         """The stream's last known state: created, started, stop, finish, or error with a message."""

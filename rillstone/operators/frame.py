@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import expr as E
 from ..errors import PlanError
 from ..plans.compile import TIME, Compiler, Field, Series, Typed, find, fields_of, is_stateful, quoted
+from ..sources import order as places
 from .window import Window, drop_late, with_start
 
 SEQ = "__seq"
@@ -38,19 +39,22 @@ def _distinct(names: Sequence[str]) -> None:
 class StreamFrame:
     """A pipeline over a bounded or streaming DataFrame."""
 
-    def __init__(self, df: DataFrame, fields: Sequence[Field], keys: Sequence[str] = (), in_order: bool = False):
+    def __init__(self, df: DataFrame, fields: Sequence[Field], keys: Sequence[str] = (), in_order: bool = False, ordered: bool = True, by_column: bool = True):
         self._df, self.fields, self._keys, self._in_order = df, list(fields), tuple(keys), in_order
+        self._ordered, self.by_column = ordered, by_column  # whether there is an arrival order, and whether a column gives it
 
     @staticmethod
     def source(df: DataFrame, time: E.Expr | None = None, seq: str | None = None, partition_by: Sequence[str] = (), qualifier: str | None = None, in_order: bool = False) -> "StreamFrame":
         """A source with the hidden column ``@time``: the time expression on the raw row, the wall clock without one.
 
-        seq: the column that gives the arrival order (the reading order of files without one). partition_by: columns that
+        seq: the column that gives the arrival order. Without one files that were read with their places go by modification time,
+        path and place in the file, other bounded tables by the order of their partitions; other streams have no order, so
+        stateful functions refuse them. partition_by: columns that
         part the rows into series for running functions; without any there is one series. in_order: promises that the event
         time never falls along the arrival order, so no row is late; it is known without a promise where seq is the time.
         """
         df = _instants(df)
-        fields = fields_of(df, qualifier)
+        fields = [f for f in fields_of(df, qualifier) if f.name != places.PLACE]
         _distinct([f.name for f in fields])
         if time is None:
             at = F.current_timestamp()
@@ -59,15 +63,23 @@ class StreamFrame:
             if t.type not in ("timestamp", "int64"):
                 raise PlanError(f"the time expression must be a timestamp, not {t.type}")
             at = F.timestamp_millis(t.column) if t.type == "int64" else t.column
-        order = quoted(find(fields, seq, None).source) if seq else F.lit(0).cast("long") if df.isStreaming else F.monotonically_increasing_id()
+        ordered = True
+        if seq:
+            order = quoted(find(fields, seq, None).source)
+        elif places.PLACE in df.columns:
+            order = places.as_text(F.col(places.PLACE)) if df.isStreaming else F.col(places.PLACE)
+        elif df.isStreaming:
+            order, ordered = F.lit(None).cast("long"), False
+        else:
+            order = F.monotonically_increasing_id()
         keys = {f"__key{i}": quoted(find(fields, k, None).source) for i, k in enumerate(partition_by)}
-        out = df.withColumns({TIME: at, SEQ: order, **keys})
+        out = df.withColumns({TIME: at, SEQ: order, **keys}).drop(places.PLACE)
         same = isinstance(time, E.Column) and seq is not None and time.name.lower() == seq.lower()
-        return StreamFrame(out, [*fields, Field(TIME, "timestamp", qualifier)], tuple(keys), in_order or same)
+        return StreamFrame(out, [*fields, Field(TIME, "timestamp", qualifier)], tuple(keys), in_order or same, ordered, seq is not None)
 
     def renamed(self, qualifier: str | None) -> "StreamFrame":
         """The same rows under another qualifier, as a sub-query's alias gives them."""
-        return StreamFrame(self._df, [Field(f.name, f.type, qualifier, f.source) for f in self.fields], self._keys, self._in_order)
+        return StreamFrame(self._df, [Field(f.name, f.type, qualifier, f.source) for f in self.fields], self._keys, self._in_order, self._ordered, self.by_column)
 
     # -- operators ---------------------------------------------------------------------------------------------------
 
@@ -95,11 +107,13 @@ class StreamFrame:
         _distinct(names)
         c = Compiler(self.fields, "running", self._series(), self._df.isStreaming)
         typed = [c.compile(e) for e in items]
+        if c.needs_order:
+            self._need_order()
         df = c.apply(self._df)
         out = df.select(*[t.column.alias(n) for t, n in zip(typed, names, strict=True)], SEQ, *self._keys)
         qualifiers = [find(self.fields, e.name, e.qualifier).qualifier if isinstance(e, E.Column) else None for e in items]
         kept = self._in_order and all(isinstance(e, E.Column) for e, n in zip(items, names, strict=True) if n.lower() == TIME)
-        return StreamFrame(out, [Field(n, t.type, q) for n, t, q in zip(names, typed, qualifiers, strict=True)], self._keys, kept)
+        return StreamFrame(out, [Field(n, t.type, q) for n, t, q in zip(names, typed, qualifiers, strict=True)], self._keys, kept, self._ordered, self.by_column)
 
     def filter(self, predicate) -> "StreamFrame":
         """Rows for which the predicate is true; top-level conjuncts stay apart so that they can be pushed down."""
@@ -107,11 +121,16 @@ class StreamFrame:
         if is_stateful(predicate):
             c = Compiler(self.fields, "running", self._series(), self._df.isStreaming)
             t = self._boolean(c.compile(predicate))
+            self._need_order()
             df = c.apply(df).where(t.column).select(*df.columns)
         else:
             for part in _conjuncts(predicate):
                 df = df.where(self._boolean(Compiler(self.fields, "scalar").compile(part)).column)
-        return StreamFrame(df, self.fields, self._keys, self._in_order)
+        return StreamFrame(df, self.fields, self._keys, self._in_order, self._ordered, self.by_column)
+
+    def _need_order(self) -> None:
+        if not self._ordered:
+            raise PlanError("stateful functions need an arrival order: name a column of the stream that gives it")
 
     @staticmethod
     def _boolean(t: Typed) -> Typed:

@@ -27,6 +27,8 @@ from .prefix import Running, running
 
 TIME = "@time"
 INDEX, BLOCK = "__rill_index", "__rill_block"
+#: Aggregates that can be merged from parts.
+MERGED = ("avg", "sum", "count", "max", "min", "first", "last")
 #: Rows in a block of a whole stream.
 BLOCK_ROWS = 200_000
 
@@ -146,10 +148,15 @@ class Compiler:
         self.whole: dict[int, list[Running]] = {}  # aggregates over a whole stream
         self.lookback: dict[int, int] = {}  # rows that the helpers of a level look back, in a whole stream
         self.aggregates: dict[str, Column] = {}
+        self.parts: dict[str, tuple[str, Column, str] | None] = {}  # by aggregate: function, argument, type; None if it needs rows
         self.needs_index = False
         self.group_keys: dict[str, Typed] = {}  # by the key's text: items that are keys need no aggregate
         self._n = 0
 
+    @property
+    def needs_order(self) -> bool:
+        return bool(self.helpers or self.folds or self.whole)
+
     def _name(self) -> str:
         self._n += 1
         return f"__rill{self._n}"
@@ -168,7 +175,7 @@ class Compiler:
             f = find(self.fields, e.name, e.qualifier)
             c = quoted(f.source)
             if self.context == "grouped":
-                return Typed(self._aggregate(F.max_by(c, quoted(self.series.seq))), f.type)
+                return Typed(self._aggregate(F.max_by(c, quoted(self.series.seq)), ("row", c, f.type)), f.type)
             return Typed(c, f.type)
         if isinstance(e, E.Wildcard):
             raise PlanError("a wildcard stands only at the top of a select list")
@@ -241,9 +248,11 @@ class Compiler:
             if f.kind == "aggregate":
                 args = [inner.compile(a) for a in e.args]
                 types = f.bind(tuple(a.type for a in args))
-                got = f.grouped(types, cast(args[0], types[0]), quoted(self.series.seq))
+                x = cast(args[0], types[0])
+                got = f.grouped(types, x, quoted(self.series.seq))
+                part = (f.name, x, types[0]) if f.name in MERGED and f.namespace is None and not inner.needs_order else None
                 self._take(inner)
-                return Typed(self._aggregate(got), f.return_type(types))
+                return Typed(self._aggregate(got, part), f.return_type(types))
             x = inner.compile(e)
             self._take(inner)
             return Typed(self._aggregate(F.max_by(x.column, quoted(self.series.seq))), x.type)
@@ -292,8 +301,9 @@ class Compiler:
         for level, whole in inner.whole.items():
             self.whole.setdefault(level, []).extend(whole)
 
-    def _aggregate(self, c: Column) -> Column:
+    def _aggregate(self, c: Column, part: tuple | None = None) -> Column:
         name = self._name()
+        self.parts[name] = part
         self.aggregates[name] = c.alias(name)
         return F.col(name)
 
@@ -347,7 +357,8 @@ def fold(df: DataFrame, series: Series, calls: list[Fold]) -> DataFrame:
 
         at, states = None, [None] * len(steppers)
         for batch in batches:
-            owners = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
+            # a NaN key is one key, though no NaN equals another
+            owners = [tuple("NaN" if x != x else x for x in k) for k in zip(*[batch.column(k).to_pylist() for k in keys], strict=True)] if keys else [()] * batch.num_rows
             rows = [list(zip(*[batch.column(a).to_pylist() for a in names], strict=True)) for names in args]
             made = [[] for _ in steppers]
             for i, owner in enumerate(owners):

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import order as places
+
 #: Least and most buckets that an order is cut into, and the rows aimed at in each: a table of MOST_BUCKETS rows is a few MB.
 BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 256, 200_000, 500_000
 BUCKET = "__bucket"
@@ -41,7 +43,12 @@ def _coarse(c: Column, kind: T.DataType) -> Column | None:
 
 def bucketed(df: DataFrame, seq: str, buckets: int = BUCKETS) -> DataFrame | None:
     """df with the bucket of each row; None if the order can't be cut."""
-    coarse = _coarse(F.col(seq), df.schema[seq].dataType)
+    kind = df.schema[seq].dataType
+    if places.is_place(kind):  # rows of files are numbered, so buckets are even
+        numbers, rows = places.numbered(df, F.struct(F.col(seq)["time"], F.col(seq)["path"]), F.col(seq)["row"], BUCKET)
+        width = rows // min(MOST_BUCKETS, max(buckets, rows // BUCKET_ROWS)) + 1
+        return numbers.withColumn(BUCKET, F.floor(F.col(BUCKET) / F.lit(width)).cast("int"))
+    coarse = _coarse(F.col(seq), kind)
     if coarse is None:
         return None
     low, high, rows = df.agg(F.min(coarse), F.max(coarse), F.count(F.lit(1))).first()

@@ -33,7 +33,7 @@ class Service:
     """Executes statements. Each started stream is a streaming query of its own; the session's zone is set to UTC."""
 
     def __init__(self, spark: SparkSession, data_dir: str):
-        self.spark, self.catalog = spark, Catalog(data_dir)
+        self.spark, self.catalog = spark, Catalog(data_dir, spark)
         self.running: dict[str, object] = {}
         self.sinks: dict[str, sinks.Sink] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -71,19 +71,19 @@ class Service:
 
     def source(self, name: str, alias: str | None = None, streaming: bool = False, counted: list | None = None) -> StreamFrame:
         d = self.catalog.get("source", name)
-        df = readers.from_uri(self.spark, d["uri"], [tuple(c) for c in d["columns"]], streaming)
+        df = readers.from_uri(self.spark, d["uri"], [tuple(c) for c in d["columns"]], streaming, place=not d.get("order"))
         if counted is not None:
             from pyspark.sql import Observation
 
             counted.append(Observation())
             df = df.observe(counted[-1], F.count(F.lit(1)).alias("rows"))
         at = parse_expr(d["time"]) if d.get("time") else None
-        return StreamFrame.source(df, time=at, qualifier=alias or name)
+        return StreamFrame.source(df, time=at, seq=d.get("order"), qualifier=alias or name)
 
     # -- definitions -------------------------------------------------------------------------------------------------
 
     def _createsource(self, s: CreateSource) -> str:
-        self.catalog.create("source", s.name, uri=s.uri, columns=s.columns, time=s.time_text)
+        self.catalog.create("source", s.name, uri=s.uri, columns=s.columns, time=s.time_text, order=s.order)
         return "create source"
 
     def _createstream(self, s: CreateStream) -> str:
@@ -112,11 +112,23 @@ class Service:
         to = self.catalog.get("sink", d["to"])
         sink = self.sinks.get(s.name.lower()) or sinks.from_uri(self.spark, to["uri"], to.get("format"))
         self.sinks[s.name.lower()] = sink
-        query = runtime.start(parse_select(d["query"]), lambda n, a: self.source(n, a, streaming=True), sink, self.catalog.checkpoint(s.name), s.name)
+        select, sources = parse_select(d["query"]), lambda n, a: self.source(n, a, streaming=True)
+        query = runtime.start(select, sources, sink, self.catalog.checkpoint(s.name), s.name, once=s.once)
         self.running[s.name.lower()] = query
         self.catalog.set_state(s.name, "started")
+        if s.once:
+            self._to_end(s.name, query, lambda: runtime.finish(select, sources, sink, self.catalog.checkpoint(s.name)))
         return "restart stream" if s.restart else "start stream"
 
+    def _to_end(self, name: str, query, finish) -> None:
+        """Waits until the stream has read what is there, then emits the windows left open: the stream is finished."""
+        try:
+            query.awaitTermination()
+            finish()
+        finally:
+            self._halt(name)
+        self.catalog.set_state(name, "finish")
+
     def _stop(self, s: Stop) -> str:
         self.catalog.get("stream", s.name)
         if not self.is_running(s.name):

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import CatalogError, PlanError
 from ..types import SPARK
+from . import order
 
 Columns = Sequence[tuple[str, str]]
 
@@ -46,12 +47,14 @@ def _instants(df: DataFrame, columns: Columns) -> DataFrame:
     return df.withColumns(times) if times else df
 
 
-def read_csv(spark: SparkSession, path: str, columns: Columns, options: CsvOptions = CsvOptions(), streaming: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Columns, options: CsvOptions = CsvOptions(), streaming: bool = False, place: bool = False) -> DataFrame:
+    """place: adds the hidden column that tells the arrival order."""
     reader = (spark.readStream if streaming else spark.read).schema(_raw(columns))
     reader = reader.option("sep", options.delimiter).option("header", options.has_header).option("mode", "FAILFAST").option("enforceSchema", True)
     if streaming:
         reader = reader.option("maxFilesPerTrigger", max(1, options.batch_size // 1_000_000))
-    return _instants(reader.csv(path), columns)
+    rows = reader.csv(path)
+    return _instants(order.with_place(order.with_split(rows)) if place else rows, columns)
 
 
 def parse_csv(spark: SparkSession, data: bytes | str, columns: Columns, options: CsvOptions = CsvOptions()) -> DataFrame:
@@ -127,9 +130,10 @@ def read_rows(spark: SparkSession, rows: Sequence, columns: Columns) -> DataFram
     return spark.createDataFrame(list(rows), struct_of(columns))
 
 
-def from_uri(spark: SparkSession, uri: str, columns: Columns, streaming: bool = False) -> DataFrame:
+def from_uri(spark: SparkSession, uri: str, columns: Columns, streaming: bool = False, place: bool = False) -> DataFrame:
     """A source by URI: ``csv:///path?delimiter=44&has_header=true``, ``file:///path.csv``, ``parquet:///path``,
-    ``kafka://servers/topic1,topic2?group_id=g``; ``json:///path`` reads lines of JSON arrays."""
+    ``kafka://servers/topic1,topic2?group_id=g``; ``json:///path`` reads lines of JSON arrays. place: files get the hidden
+    column that tells the arrival order (see order)."""
     parts = urlsplit(uri)
     query = dict(parse_qsl(parts.query))
     scheme, path = parts.scheme.lower(), f"{parts.netloc}{parts.path}"
@@ -139,19 +143,23 @@ def from_uri(spark: SparkSession, uri: str, columns: Columns, streaming: bool =
         sep = query.get("delimiter", "44")
         options = CsvOptions(chr(int(sep)) if sep.isdigit() else sep, query.get("has_header", "false").lower() == "true", int(query.get("batch_size", 1_000_000)))
         base = path if scheme in ("csv", "file", "") else f"{scheme}://{path}"
-        return read_csv(spark, base, columns, options, streaming)
+        return read_csv(spark, base, columns, options, streaming, place)
     if scheme == "parquet" or path.lower().endswith(".parquet"):
         base = path if scheme in ("parquet", "file", "") else f"{scheme}://{path}"
         if streaming:
-            return spark.readStream.schema(struct_of(columns)).parquet(base)
+            rows = spark.readStream.schema(struct_of(columns)).parquet(base)
+            return order.with_row_index(rows) if place else rows
         df = spark.read.parquet(base)
         missing = [c[0] for c in columns if c[0].lower() not in {x.lower() for x in df.columns}]
         if missing:
             raise PlanError(f"not such column: {', '.join(missing)}")
-        return df.select(*[F.col(f"`{c[0]}`").cast(SPARK[c[1]]).alias(c[0]) for c in columns])
+        df = order.with_row_index(df) if place else df
+        return df.select(*[F.col(f"`{c[0]}`").cast(SPARK[c[1]]).alias(c[0]) for c in columns], *([order.PLACE] if place else []))
     if scheme == "json":
         lines = (spark.readStream if streaming else spark.read).text(path)
-        return read_json_messages(lines, columns)
+        if not place:
+            return read_json_messages(lines, columns)
+        return order.with_place(read_json_messages(order.with_split(lines), columns, keep=("__split",)))
     if scheme == "kafka":
         return read_kafka(spark, parts.netloc, parts.path.strip("/").split(","), columns, query.get("group_id"), streaming)
     raise CatalogError(f"unsupported source: {uri}")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..display import table_text
+from ..display import rows_text
 from ..errors import CatalogError
 
 FILE_FORMATS = ("parquet", "csv", "json", "orc")
@@ -22,13 +23,18 @@ class Sink:
 
 
 class Console(Sink):
-    """Prints batches as tables of at most ``rows`` rows (a display; all rows are still computed where a sink needs them)."""
+    """Prints whole batches as tables of at most ``rows`` rows each; rows come to the driver by partition."""
 
     def __init__(self, rows: int = 100, write: Callable[[str], None] = print):
         self.rows, self.write = rows, write
 
     def send(self, df: DataFrame, batch: int = 0) -> None:
-        self.write(table_text(df, self.rows))
+        rows, some = df.toLocalIterator(), False
+        while part := list(islice(rows, self.rows)):
+            self.write(rows_text(df.columns, part))
+            some = True
+        if not some:
+            self.write(rows_text(df.columns, []))
 
 
 class Memory(Sink):

@@ -3,9 +3,9 @@
 Projections and filters, also with running functions (kept in Spark's state store), run as one streaming query.
 
 A windowed aggregate runs exactly as over a bounded table: rows are late against a watermark that rises with every row, and a
-window closes when the watermark has passed its end. Each micro-batch joins the rows of open windows, written beside the
-query's checkpoint, with the new rows, emits windows that are closed, and writes the rows of those still open. State folders
-are named by batch, so a repeated batch reads what it read before. ``finish`` emits the windows left open.
+window closes when the watermark has passed its end. Each micro-batch merges the partial aggregates of open windows, written
+beside the query's checkpoint, with its own, emits windows that are closed, and writes those still open. State folders are
+named by batch, so a repeated batch reads what it read before. ``finish`` emits the windows left open.
 
 ``native_aggregate`` is the built-in alternative: Spark's watermark, which rises by batch and closes a window as soon as it
 reaches its end.
@@ -15,14 +15,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import expr as E
+from .. import storage
 from ..operators.frame import SEQ, StreamFrame
+from ..sources import order as places
 from ..operators.window import Window, end_of, running_max, with_start
-from ..plans.compile import TIME, Compiler, Field, find, quoted
+from ..plans.compile import TIME, Compiler, Field, Series, find, quoted
 from ..sources.sinks import Sink
 from ..sql.parser import Select
 from ..sql.planner import plan
@@ -36,7 +39,7 @@ def aggregate_of(query: Select) -> Select | None:
 
 
 class WindowState:
-    """Rows of open windows and the watermark of one streaming aggregate, by batch, in a folder."""
+    """What one streaming aggregate holds after each batch, in a folder: groups of open windows, and the watermark."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -44,75 +47,105 @@ class WindowState:
     def _of(self, batch: int) -> str:
         return f"{self.path}/batch={batch}"
 
-    def read(self, batch: int) -> DataFrame | None:
-        """What the batch before left; the column __mark holds the watermark."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._of(batch - 1))
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(self._of(batch - 1)) if fs.exists(target) else None
-
-    def write(self, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self._of(batch))
-        old = self.spark._jvm.org.apache.hadoop.fs.Path(self._of(batch - 3))
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
+    def last(self) -> int:
+        """The last batch; -1 before the first one."""
+        return max((int(n.removeprefix("batch=")) for n in storage.names(self.spark, self.path)), default=-1)
+
+    def read(self, batch: int, schema: T.StructType) -> tuple[DataFrame | None, object]:
+        """The groups and the watermark that the batch before left."""
+        at = self._of(batch - 1)
+        if not storage.exists(self.spark, f"{at}/mark/_SUCCESS"):
+            return None, None
+        return self.spark.read.schema(schema).parquet(f"{at}/groups/open"), self.spark.read.parquet(f"{at}/mark").first()[0]
+
+    def write(self, batch: int, groups: DataFrame, closed: Column, mark) -> DataFrame:
+        """Writes the groups still open and the watermark; returns the closed ones. Every group is computed once."""
+        at = self._of(batch)
+        groups.withColumn("__at", F.when(closed, "closed").otherwise("open")).write.mode("overwrite").partitionBy("__at").parquet(f"{at}/all")
+        every = self.spark.read.schema(groups.schema.add("__at", "string")).parquet(f"{at}/all")
+        every.where("__at = 'open'").drop("__at").write.mode("overwrite").parquet(f"{at}/groups/open")
+        self.spark.range(1).select(F.lit(mark).cast("timestamp").alias("mark")).write.mode("overwrite").parquet(f"{at}/mark")
+        storage.remove(self.spark, self._of(batch - 3))
+        return every.where("__at = 'closed'").drop("__at")
+
+
+def parts_of(name: str, part: tuple[str, Column, str], seq: Column) -> dict[str, tuple[Column, Callable, Callable]]:
+    """For each part of an aggregate: its value over rows, how parts merge, and at the key ``""`` how the aggregate comes of them."""
+    function, x, kind = part
+    pair = F.struct(seq.alias("seq"), x.alias("x"))
+    some = F.when(x.isNotNull(), pair)
+    floats = F.when(~F.isnan(x), x) if kind in ("float32", "float64") else x
+    total, n = (F.sum(x), F.sum), (F.count(x), F.sum)
+    made = {
+        "sum": {"s": total}, "count": {"n": n}, "avg": {"s": total, "n": n}, "max": {"m": (F.max(floats), F.max)}, "min": {"m": (F.min(floats), F.min)},
+        "first": {"p": (F.min(some), F.min)}, "last": {"p": (F.max(some), F.max)}, "row": {"p": (F.max(pair), F.max)},
+    }[function]
+    return {f"{name}_{k}": v for k, v in made.items()}
+
+
+def whole_of(name: str, part: tuple[str, Column, str]) -> Column:
+    """The aggregate from its merged parts."""
+    c = lambda k: F.col(f"{name}_{k}")
+    return {
+        "sum": lambda: F.coalesce(c("s"), F.lit(0.0)), "count": lambda: c("n"), "max": lambda: c("m"), "min": lambda: c("m"),
+        "avg": lambda: F.when(c("n") > 0, c("s") / F.when(c("n") > 0, c("n"))).otherwise(F.lit(float("nan"))),
+        "first": lambda: c("p")["x"], "last": lambda: c("p")["x"], "row": lambda: c("p")["x"],
+    }[part[0]]()
 
 
 class WindowedBatches:
-    """Steps a windowed aggregate from micro-batch to micro-batch."""
-
-    def __init__(self, fields: Sequence[Field], query: Select, state: WindowState):
-        self.fields, self.query, self.state = list(fields), query, state
+    """Steps a windowed aggregate from micro-batch to micro-batch. State is a row of merged parts for each open group; rows are
+    held only where a function along the rows of a window needs them."""
 
-    def _marked(self, rows: DataFrame, held: DataFrame | None) -> DataFrame:
-        """New rows with the watermark they have raised, late ones dropped."""
+    def __init__(self, below: StreamFrame, query: Select, state: WindowState):
+        self.fields, self.query, self.state = list(below.fields), query, state
         scalar = Compiler(self.fields, "scalar")
-        time = quoted(find(self.fields, TIME, None).source)
-        value = time if self.query.watermark is None else F.coalesce(scalar.compile(self.query.watermark).column, time)
-        out = running_max(rows, value, SEQ, "__mark")
-        last = held.agg(F.max("__mark")).first()[0] if held is not None else None
-        if last is not None:
-            out = out.withColumn("__mark", F.greatest("__mark", F.lit(last)))
-        return out
+        self.time = quoted(find(self.fields, TIME, None).source)
+        self.value = self.time if query.watermark is None else F.coalesce(scalar.compile(query.watermark).column, self.time)
+        self.keys = {f"__group{i}": scalar.compile(k).column for i, k in enumerate(query.group_by)}
+        self.groups = ["__start", *self.keys]
+        self.compiler = Compiler(self.fields, "grouped", Series(SEQ, [F.col(g) for g in self.groups]))
+        items = StreamFrame(below._df, self.fields)._expand(query.items)
+        self.typed = [(self.compiler.compile(e), e.output_name()) for e in items]
+        self.out_fields = [*[Field(n, t.type) for t, n in self.typed], Field(TIME, "timestamp")]
+        self.merged = all(self.compiler.parts.values())
+
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """What a batch's rows in windows add to the state."""
+        df = rows.withColumns(self.keys) if self.keys else rows
+        if not self.merged:
+            return df
+        made = [f.alias(n) for name, part in self.compiler.parts.items() for n, (f, _) in parts_of(name, part, F.col(SEQ)).items()]
+        return df.groupBy(*self.groups).agg(*made, F.max(SEQ).alias("__last"))
+
+    def _joined(self, held: DataFrame, fresh: DataFrame) -> DataFrame:
+        both = held.unionByName(fresh)
+        if not self.merged:
+            return both
+        made = [merge(F.col(n)).alias(n) for name, part in self.compiler.parts.items() for n, (_, merge) in parts_of(name, part, F.lit(0)).items()]
+        return both.groupBy(*self.groups).agg(*made, F.max("__last").alias("__last"))
 
     def step(self, batch: DataFrame, number: int, final: bool = False) -> DataFrame:
         """The windows that close with this batch; at the end all that are open."""
         w = self.query.window
-        time = quoted(find(self.fields, TIME, None).source)
-        held = self.state.read(number)
-        marked = self._marked(batch, held).persist()
-        top = marked.agg(F.max("__mark")).first()[0]
-        if top is None and held is not None:
-            top = held.agg(F.max("__mark")).first()[0]
-        fresh = with_start(marked.where(time >= F.col("__mark")), time, w, "__start")
-        rows = fresh if held is None else held.where("__start is not null").unionByName(fresh)
-        if final:
-            done, left = rows, rows.limit(0)
+        marked = running_max(batch, self.value, SEQ, "__mark")
+        fresh = with_start(marked, self.time, w, "__start")
+        held, last = self.state.read(number, self._held(fresh).schema)
+        top = batch.agg(F.max(self.value)).first()[0]
+        top = max((x for x in (top, last) if x is not None), default=None)
+        late = F.col("__mark") if last is None else F.greatest(F.col("__mark"), F.lit(last))
+        fresh = self._held(fresh.where(self.time >= late))
+        groups = fresh if held is None else self._joined(held, fresh)
+        closed = F.lit(True) if final else F.coalesce(F.lit(top).cast("timestamp") > end_of(F.col("__start"), w), F.lit(False))
+        return self._finished(self.state.write(number, groups, closed, top))
+
+    def _finished(self, groups: DataFrame) -> DataFrame:
+        c = self.compiler
+        if self.merged:
+            grouped = groups.withColumns({name: whole_of(name, part) for name, part in c.parts.items()}) if c.parts else groups
         else:
-            closed = F.coalesce(F.lit(top).cast("timestamp") > end_of(F.col("__start"), w), F.lit(False))
-            done, left = rows.where(closed), rows.where(~closed)
-        note = marked.limit(0).withColumn("__start", F.lit(None).cast("timestamp"))
-        if top is not None:  # the watermark outlives the rows that raised it
-            empty = self.state.spark.range(1).select(*[(F.lit(top) if f.name == "__mark" else F.lit(None)).cast(f.dataType).alias(f.name) for f in note.schema])
-            left = left.unionByName(empty)
-        self.state.write(number, left)
-        out = self._closed(done)
-        marked.unpersist()
-        return out
-
-    def _closed(self, rows: DataFrame) -> DataFrame:
-        from ..plans.compile import Series
-
-        q = self.query
-        scalar = Compiler(self.fields, "scalar")
-        keys = {f"__group{i}": scalar.compile(k).column for i, k in enumerate(q.group_by)}
-        df = rows.withColumns(keys) if keys else rows
-        groups = ["__start", *keys]
-        c = Compiler(self.fields, "grouped", Series(SEQ, [F.col(g) for g in groups]))
-        items = StreamFrame(df, self.fields)._expand(q.items)
-        typed = [(c.compile(e), e.output_name()) for e in items]
-        grouped = c.apply(df).groupBy(*groups).agg(*c.aggregates.values(), F.max(SEQ).alias("__last"))
-        self.out_fields = [*[Field(n, t.type) for t, n in typed], Field(TIME, "timestamp")]
-        return grouped.select(*[t.column.alias(n) for t, n in typed], F.col("__start").alias(TIME), F.struct("__start", "__last").alias(SEQ))
+            grouped = c.apply(groups).groupBy(*self.groups).agg(*c.aggregates.values(), F.max(SEQ).alias("__last"))
+        return grouped.select(*[t.column.alias(n) for t, n in self.typed], F.col("__start").alias(TIME), F.struct("__start", "__last").alias(SEQ))
 
 
 def _rest(query: Select, inner: Select, frame: StreamFrame) -> StreamFrame:
@@ -135,32 +168,40 @@ def start(query: Select, sources: Callable[[str, str | None], StreamFrame], sink
         below = plan(base, sources)
         spark = below._df.sparkSession
         df = below._df
-        steps = WindowedBatches(below.fields, inner, WindowState(spark, f"{checkpoint.rstrip('/')}/windows"))
+        steps = WindowedBatches(below, inner, WindowState(spark, f"{checkpoint.rstrip('/')}/windows"))
 
         def send(batch: DataFrame, number: int) -> None:
-            done = steps.step(numbered(batch, number), number)
+            done = steps.step(numbered(batch, number, below.by_column), number)
             sink.send(_rest(query, inner, StreamFrame(done, steps.out_fields)).to_df(), number)
 
     writer = df.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(send)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def numbered(batch: DataFrame, number: int) -> DataFrame:
-    """The batch with an arrival order that continues from earlier batches, where the source gives none."""
-    return batch.withColumn(SEQ, F.when(F.col(SEQ) != 0, F.col(SEQ)).otherwise(F.lit(number << 44) + F.monotonically_increasing_id()))
+def numbered(batch: DataFrame, number: int, own: bool) -> DataFrame:
+    """The batch with an arrival order that continues from earlier batches, where no column of the source gives it: files go by
+    time, path and place, other sources by the order of the batch's partitions."""
+    kind = batch.schema[SEQ].dataType.typeName()
+    if kind == "string" and not own:
+        return places.numbered(batch, places.file_of(F.col(SEQ)), places.row_of(F.col(SEQ)), "__at")[0].withColumn(SEQ, F.lit(number << 44) + F.col("__at")).drop("__at")
+    return batch if own else batch.withColumn(SEQ, F.lit(number << 44) + F.monotonically_increasing_id())
 
 
-def finish(query: Select, sources: Callable[[str, str | None], StreamFrame], sink: Sink, checkpoint: str, last_batch: int) -> None:
+def finish(query: Select, sources: Callable[[str, str | None], StreamFrame], sink: Sink, checkpoint: str) -> None:
     """Emits the windows that a stopped streaming aggregate has left open, as at the end of a bounded input."""
     inner = aggregate_of(query)
     if inner is None:
         return
     below = plan(Select([E.Wildcard()], inner.source, inner.where), sources)
     spark = below._df.sparkSession
-    steps = WindowedBatches(below.fields, inner, WindowState(spark, f"{checkpoint.rstrip('/')}/windows"))
+    steps = WindowedBatches(below, inner, WindowState(spark, f"{checkpoint.rstrip('/')}/windows"))
+    last = steps.state.last()
+    if last < 0:
+        return
     none = spark.createDataFrame([], below._df.schema)
-    done = steps.step(none, last_batch + 1, final=True)
-    sink.send(_rest(query, inner, StreamFrame(done, steps.out_fields)).to_df(), last_batch + 1)
+    none = none if below.by_column else none.withColumn(SEQ, F.lit(None).cast("long"))
+    done = steps.step(none, last + 1, final=True)
+    sink.send(_rest(query, inner, StreamFrame(done, steps.out_fields)).to_df(), last + 1)
 
 
 def native_aggregate(df: DataFrame, time: str, window: Window, keys: Sequence[str], aggregates: Sequence, delay: str = "0 seconds") -> DataFrame:
