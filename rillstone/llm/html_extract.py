@@ -3,14 +3,17 @@
 A page is read into a tree with one pattern match for each tag; end tags that HTML lets authors leave out are implied. Blocks
 of running text pass points (one, one more for each comma, up to three for length) to their parent and half of them to the
 grandparent; names that speak for or against an article shift a container's points. Points are discounted by link density.
-The best container is kept with siblings that score a fifth of it or read like its text; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+The best container is kept with siblings that score a fifth of it or read like its text. Where it stands inside an ``article``,
+that is kept, and where it holds only a part of the ``main`` around it, that one is; an article that is itself the best stands
+for itself. Lists of links inside what is kept go, by their link density. Menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments are left out wherever they stand; a form that holds most of the page's text is
+the page's wrapper and counts as a plain container.
 
 Names against a container don't count where a name of its own speaks for it, or where they only say what it has, lacks or is
 tagged with. When the result is empty or far below the page's text outside links, scoring is repeated with names against as a
 malus only (those of comments, notices and adverts once all else is empty), and the longer text is taken.
 
-Defined results: null or empty html, or a page without text: empty text, length 0; malformed markup is read as far as it goes
+Defined results: of containers of equal score the first in the page wins; an empty table gives no rows; null or empty html, or a page without text: empty text, length 0; malformed markup is read as far as it goes
 and never raises; pages of any length are read whole in linear time; repeated rows repeat; other columns are ignored.
 """
 
@@ -60,9 +63,17 @@ RESCUE = re.compile(r"(?:^|[-_])(?:article|content|entry|hentry|h-entry|main|pos
 HARD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|comments?|comment-\w+|disqus|respond|replies|reply|discussion|hidden)(?:$|[-_\s]|\d)", re.I)
 #: Parts of names that say what a container has, lacks or is tagged with.
 MODIFIER = re.compile(r"^tag[-_](?!cloud|list|links?$).*|(?:^|[-_])(?:has|have|no|not|with|without|hide|show)[-_].*|.*[-_](?:enabled|disabled)$")
+#: Containers of links: at least so many, holding at least this share of the container's text.
+LINKS, LINK_SHARE = 3, 0.8
+#: Containers that are left out as lists of links.
+LISTS = frozenset("ul ol dl div section table tbody tr td center".split())
+#: Characters of text outside links that make a form the wrapper of a page.
+WRAPPER = 250
+#: Share of a main element's text outside links that a container must hold to stand for it.
+STANDS_FOR = 0.75
 #: Share of the page's text outside links below which a result is far too little.
 FAR = 0.2
-BASE = {"article": 25, "main": 20, "section": 3, "div": 5, "td": 3, "blockquote": 3, "body": 0}
+BASE = {"article": 25, "main": 5, "section": 3, "div": 5, "td": 3, "blockquote": 3, "body": 0}
 
 
 @lru_cache(10_000)
@@ -77,11 +88,11 @@ def judged(names: str) -> tuple[bool, int]:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "points", "drop", "named", "weight", "inner", "links")
+    __slots__ = ("tag", "parent", "parts", "points", "drop", "named", "weight", "inner", "links", "n_links")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
-        self.points, self.weight, self.inner, self.links = 0.0, 0, 0, 0
+        self.points, self.weight, self.inner, self.links, self.n_links = 0.0, 0, 0, 0, 0
         self.drop, self.named = tag in DROPPED, 0
         if attributes and "=" in attributes and not self.drop and tag not in ("html", "body"):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attributes)}
@@ -159,8 +170,13 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
+def is_links(node: Node) -> bool:
+    """Whether a measured container is a list of links."""
+    return node.tag in LISTS and node.n_links >= LINKS and node.links >= LINK_SHARE * node.inner
+
+
 def pieces(root: Node) -> list[str]:
-    """The blocks of text below a node in page order, white space collapsed, empty ones left out."""
+    """The blocks of text below a measured node in page order, white space collapsed, empty ones and lists of links left out."""
     out: list[str] = []
     run: list[str] = []
 
@@ -181,7 +197,7 @@ def pieces(root: Node) -> list[str]:
                 flush()
         elif type(part) is str:
             run.append(part)
-        elif not part.drop:
+        elif not part.drop and not is_links(part):
             block = part.tag not in INLINE
             if block:
                 flush()
@@ -194,14 +210,15 @@ def pieces(root: Node) -> list[str]:
 def measure(nodes: list[Node]) -> int:
     """Sets the text and link text inside nodes; the root's text outside links."""
     for node in nodes:
-        node.inner = node.links = 0
+        node.inner = node.links = node.n_links = 0
     for node in reversed(nodes):
         node.inner += sum(len(p.strip()) for p in node.parts if type(p) is str)
         if node.tag == "a":
-            node.links = node.inner
+            node.links, node.n_links = node.inner, 1
         if node.parent:
             node.parent.inner += node.inner
             node.parent.links += node.links
+            node.parent.n_links += node.n_links
     return nodes[0].inner - nodes[0].links
 
 
@@ -210,6 +227,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    unwrap_forms(root)
     text = scored_text(root)
     for level in (1, 2):
         if level == 2 and text:
@@ -225,6 +243,17 @@ def main_text(page: str | None) -> str:
     return text
 
 
+def unwrap_forms(root: Node) -> None:
+    """Lets forms that hold most of the page's text be plain containers."""
+    nodes = nodes_of(root)
+    forms = [p for n in nodes for p in n.parts if type(p) is not str and p.tag == "form" and p.drop and not p.named]
+    if forms:
+        rest = measure(nodes)
+        for form in forms:
+            form.drop = False
+            form.drop = measure(nodes_of(form)) <= max(rest, WRAPPER)
+
+
 def scored_text(root: Node) -> str:
     """The best container of a tree and its kept siblings as one line of text."""
     nodes = nodes_of(root)
@@ -262,12 +291,11 @@ def scored_text(root: Node) -> str:
     value = {k: v.points * (1 - (v.links / v.inner if v.inner else 0)) for k, v in scored.items()}
     best = scored[max(value, key=value.get)]
     top = best
-    node = best.parent
+    node = best.parent if best.tag != "article" else None
     while node is not None:  # an article's sections belong together
-        if node.tag in ("article", "main") and not node.drop:
+        if node.tag == "article" or node.tag == "main" and best.inner - best.links < STANDS_FOR * (node.inner - node.links):
             top = node
-            if node.tag == "article":
-                break
+            break
         node = node.parent
     if top.parent is None or top.tag in ("article", "main", "body", "html"):
         return " ".join(pieces(top))
@@ -276,7 +304,7 @@ def scored_text(root: Node) -> str:
     for part in top.parent.parts:
         if part is top:
             out += pieces(top)
-        elif type(part) is not str and not part.drop:
+        elif type(part) is not str and not part.drop and not is_links(part):
             density = part.links / part.inner if part.inner else 0
             like = part.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol") and density < 0.25 and (part.inner > 80 or part.tag[0] == "h" or density == 0 and part.inner)
             if like or value.get(id(part), 0) >= limit:
