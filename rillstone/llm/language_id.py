@@ -1,5 +1,7 @@
 """Language identification with language-bitmask n-gram filters [free style].
 
+Words are runs of letters (Unicode category L) with the marks that belong to them; numbers of any kind are no letters.
+
 Training: letter n-grams of padded lower-case words are counted by language over the labelled rows. A gram belongs to a
 language if its rate there is at least ``share`` of its highest rate in any language, so grams that strayed into a
 language through mislabelled rows stay out. The (gram, language) pairs fill bit-sliced Bloom filters: one array of machine
@@ -12,17 +14,20 @@ The classifier may be fitted on a bounded sample: at most about ``train_rows`` l
 the id (all rows where there are fewer). Everything else covers whole texts of all rows.
 
 Defined results: text null or without a letter: ``und``, score 0. No labelled row at all: ``und`` for all. A null id is never
-held out and never trains. Repeated rows give repeated results; texts are never cut.
+held out and never trains. Repeated rows give repeated results; texts are never cut; an empty table gives no rows; other
+columns are ignored, or kept by ``predict`` whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,26 @@ SLOTS = 1 << 21
 PROBES = 4
 #: Words whose grams are looked up at once.
 BLOCK = 20_000
+#: Exact in texts that hold none of ODD, and much faster there.
 WORD = re.compile(r"[^\W\d_]+")
+EXACT = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def _class(*categories: str) -> str:
+    """The characters of the first plane that are of some categories, as ranges of a pattern."""
+    out: list[list[int]] = []
+    for c in range(0x10000):
+        if unicodedata.category(chr(c)).startswith(categories):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
+#: Marks, numbers other than digits, and what lies beyond the first plane: texts with these are read by EXACT.
+ODD = re.compile(f"[{_class('M', 'Nl', 'No')}]")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def gram_hashes(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,7 +82,10 @@ def gram_hashes(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (EXACT if ODD.search(low) or BEYOND.search(low) else WORD).findall(low)
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
@@ -136,9 +163,11 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, share: float = SHARE) ->
     kept.persist()
     most = kept.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     filters = Filters(languages, max(SLOTS, 1 << (8 * most - 1).bit_length() if most else 0))
-    for i, lang in enumerate(languages):
-        grams = kept.where(F.col("lang") == lang).select("gram").toPandas()["gram"].to_numpy(np.int64)
-        filters.add(i, grams.view(np.uint64))
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
+    found = kept.select("gram", number[F.col("lang")].cast("int").alias("i")).toArrow()  # grams of the bounded sample, in one job
+    grams, own = found.column("gram").to_numpy().view(np.uint64), found.column("i").to_numpy()
+    for i in range(len(languages)):
+        filters.add(i, grams[own == i])
     kept.unpersist()
     counts.unpersist()
     return filters
@@ -146,9 +175,10 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, share: float = SHARE) ->
 
 def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str = "text", replace_text: bool = False) -> DataFrame:
     """The given columns of docs with lang_pred and score added. replace_text: the text is among the columns."""
-    schema = docs.select(*columns, text_col).schema
-    names = [c for c in columns if c != text_col]
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
+    kept = [c for c in columns if replace_text or c != text_col]
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
+    names = [f"c{i}" for i in range(len(kept))]  # by position, so that no name can clash
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each 64 languages
     k = len(filters.languages)
     langs = np.array([*filters.languages, "und"], object)
@@ -173,7 +203,7 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
 
     def one(batch: pa.RecordBatch, state) -> pa.RecordBatch:
         chunks, rates = state
-        texts = batch.column("__text").to_pylist()
+        texts = batch.column("text").to_pylist()
         lists = [words_of(t) for t in texts] if k else [[] for _ in texts]
         at = chunks.lookup([w for x in lists for w in x]) if k else np.zeros(0, np.int64)
         best, score = np.full(len(texts), k), np.zeros(len(texts))
@@ -188,12 +218,10 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
             some = n[:, 0] > 0
             best = np.where(some, fixed.argmax(axis=1), k)
             score = np.where(some & (total > 0), fixed.max(axis=1) / np.maximum(total, 1e-300), 0.0)
-        kept = [*names, *([text_col] if replace_text else [])]
-        cols = [batch.column("__text" if c == text_col else c) for c in kept]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(langs[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*(schema[c] for c in names), *([schema[text_col]] if replace_text else [])])
-    return map_text(rows, "__text", one, f"{fields}, lang_pred string, score double", setup)
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
+    return map_text(rows, "text", one, f"{fields}, lang_pred string, score double", setup).toDF(*kept, "lang_pred", "score")
 
 
 def held_out(id_col):

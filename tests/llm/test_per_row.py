@@ -39,6 +39,76 @@ def test_names_that_match_by_chance_keep_the_article(names, outside):
     assert want in got and "reader" not in got and "cookies" not in got and "other, things" not in got
 
 
+LONG = "<p>A longer paragraph, with much more text, that tells the rest of it.</p>" * 8
+LONG_TEXT = " ".join(["A longer paragraph, with much more text, that tells the rest of it."] * 8)
+
+
+@pytest.mark.parametrize("names", ["content with-sidebar", "post no-comments", "post comments-open"])
+def test_modifiers_keep_the_article(names):
+    assert html_extract.main_text(f"<body><div class='{names}'>{LONG}</div></body>") == LONG_TEXT
+
+
+def test_score_decides():
+    promo = "<div class=box><p>Buy one, get two, today.</p></div>"
+    links = "<ul>" + "<li><a href=/x>another story of the week</a>" * 5 + "</ul>"
+    assert html_extract.main_text(f"<body><main><article>{LONG}</article><div>{promo * 4}</div></main></body>") == LONG_TEXT
+    assert html_extract.main_text(f"<body><main><div>{LONG}</div>{promo}</main></body>") == LONG_TEXT
+    assert html_extract.main_text(f"<body><main><section>{LONG}</section><section>{LONG}</section></main></body>") == f"{LONG_TEXT} {LONG_TEXT}"
+    assert html_extract.main_text(f"<body>{links}{LONG}{links}</body>") == LONG_TEXT
+    assert html_extract.main_text(f"<body><div>{LONG}{links}</div></body>") == LONG_TEXT
+    assert html_extract.main_text(f"<body><form action=/all><div>{LONG}</div><input><button>go</button></form></body>") == LONG_TEXT
+    assert html_extract.main_text(f"<body><div>{LONG}</div><form><p>Sign up, now, please.</p></form></body>") == LONG_TEXT
+    assert html_extract.main_text(f"<body><div><p>one, two, three</p></div><div><p>four, five, six</p></div></body>").startswith("one, two, three")
+
+
+def test_links_of_running_text_stay():
+    body = LONG + "<ul><li>see <a href=a>one</a>, which tells of many things<li>and <a href=b>two</a> as well</ul><p><a href=c>The source of it</a></p>"
+    assert html_extract.main_text(f"<article>{body}</article>") == f"{LONG_TEXT} see one, which tells of many things and two as well The source of it"
+
+
+def slow_points(page):
+    """Points of the containers of a page by the rules, from the tree: text blocks give to their parent and half to its parent."""
+    root = html_extract.parse(page)
+    value = {}
+
+    def text_of(n):
+        return "".join(p if type(p) is str else text_of(p) for p in n.parts)
+
+    def links_of(n):
+        return len(text_of(n)) if n.tag == "a" else sum(links_of(p) for p in n.parts if type(p) is not str)
+
+    def walk(n, up):
+        if n.tag == "p":
+            t = " ".join(text_of(n).split())
+            points = (1 + t.count(",") + min(len(t) / 100, 3)) * (1 - links_of(n) / len(text_of(n)))
+            for k, share in ((0, 1), (1, 0.5)):
+                c = up[-1 - k] if len(up) > k else None
+                if c is not None:
+                    value[id(c)] = value.get(id(c), html_extract.BASE.get(c.tag, 0)) + share * points
+        for p in n.parts:
+            if type(p) is not str:
+                walk(p, [*up, n])
+
+    walk(root, [])
+    order = [n for n in html_extract.nodes_of(root) if id(n) in value]
+    return max(order, key=lambda n: value[id(n)] * (1 - (links_of(n) / len(text_of(n)) if text_of(n) else 0)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_container_by_brute_force(seed):
+    rnd = random.Random(seed)
+
+    def block(depth):
+        if depth == 3 or rnd.random() < 0.4:
+            return "<p>" + ", ".join(f"w{rnd.randrange(9)}" * rnd.randint(1, 9) for _ in range(rnd.randint(1, 9))) + "</p>"
+        return "<div>" + "".join(block(depth + 1) for _ in range(rnd.randint(1, 4))) + "</div>"
+
+    page = "<html><body>" + "".join(f"<div>{block(1)}{block(1)}</div>" for _ in range(4)) + "</body></html>"
+    best = slow_points(page)
+    want = " ".join(html_extract.pieces(best))
+    assert want in html_extract.main_text(page)
+
+
 @pytest.mark.parametrize("name", ["sidebar", "sidebar-content", "related", "widget", "share", "tags", "comment-body"])
 def test_named_boilerplate_stays_out(name):
     page = PAGE.format(f"<div id='content'>{BODY}</div><div class='{name}'><p>boiler, plate, of the side</p></div>")
@@ -217,6 +287,55 @@ def test_language_edge_cases(spark, odd_docs, no_docs):
     assert language_id.identify(none).first().lang_pred == "und"
 
 
+def test_letters_and_marks():
+    assert language_id.words_of("½²Ⅷ 12 _ ٣") == [] and language_id.words_of("हिन्दी में x²y") == ["हिन्दी", "में", "x", "y"]
+    assert language_id.words_of("Plain ÇA va\u0301 𝒳y") == ["plain", "ça", "va\u0301", "𝒳y"]
+
+
+def test_masks_and_popcounts_by_brute_force(spark):
+    """Counts, membership and corrected popcounts of every text from the grams themselves."""
+    import numpy as np
+
+    rnd = random.Random(4)
+    alphabets = {"aa": "abcdefg", "bb": "efghijk", "hi": "कखगहनदमिीे्"}
+    text = lambda k, n: " ".join("".join(rnd.choices(alphabets[k], k=rnd.randint(1, 7))) for _ in range(n))
+    rows = [(i, k, text(k, 60)) for i, k in enumerate(list(alphabets) * 12)] + [(90, "aa", "½ ²"), (91, None, text("aa", 5) + " " + text("bb", 5))]
+    df = spark.createDataFrame(rows + [rows[0]], "doc_id long, lang string, text string")
+
+    def grams(t):
+        for w in language_id.EXACT.findall(t.lower()):
+            yield from w
+            yield from (p[j : j + n] for p in [f" {w} "] for n in language_id.ORDERS[1:] for j in range(len(p) - n + 1))
+
+    counts = {}
+    for i, k, t in [*rows, rows[0]]:
+        if k and hashlib and __import__("zlib").crc32(str(i).encode()) % 4 != 2:
+            for g in grams(t):
+                counts.setdefault(k, {}).setdefault(g, 0)
+                counts[k][g] += 1
+    counts = {k: {g: n for g, n in c.items() if n >= 2} for k, c in counts.items()}
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    own = {k: {g for g, x in r.items() if x >= language_id.SHARE * best[g]} for k, r in rate.items()}
+    for r in language_id.identify(df).collect():
+        t = next(t for i, _, t in rows if i == r.doc_id)
+        every = list(grams(t))
+        hits = {k: sum(g in own[k] for g in every) for k in sorted(own)}  # filters this empty have next to no false positives
+        if not every:
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            top = max(hits, key=hits.get)
+            assert r.lang_pred == top and r.score == pytest.approx(hits[top] / sum(hits.values()), abs=0.02)
+
+
+def test_predict_keeps_columns_of_any_name(spark, docs):
+    clash = docs.selectExpr("doc_id", "lang", "text", "1 as c0", "2 as `__text`", "3 as `a b`")
+    filters = language_id.fit(docs.selectExpr("doc_id as id", "lang", "text"))
+    out = language_id.predict(clash, filters, clash.columns, replace_text=True)
+    assert out.columns == [*clash.columns, "lang_pred", "score"]
+    assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_filters_hold_all_grams_of_a_large_alphabet(spark):
     import numpy as np
 
