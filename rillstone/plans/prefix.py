@@ -2,7 +2,8 @@
 
 The arrival order is cut into buckets of equal width. Each bucket is aggregated; a window over the buckets (one row each, so few
 that the result can be broadcast) tells what came before each of them, and a window inside the bucket gives the rest. Both parts
-are combined for each row. Orders that are neither numbers nor times, nor structs that begin with one, take a plain window.
+are combined for each row. Texts are cut by their first seven bytes. Other orders than whole numbers, decimals, times, texts and
+structs that begin with one, and orders that hold one value only, take a plain window.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ def _coarse(c: Column, kind: T.DataType) -> Column | None:
         return c.cast("long")
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
         return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, T.DecimalType) and kind.precision - kind.scale <= 18:
+        return F.floor(c).cast("long")
+    if isinstance(kind, T.StringType):  # texts are ordered by their bytes; the first seven fit a bigint
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
     if isinstance(kind, T.StructType) and len(kind):
         return _coarse(c[kind[0].name], kind[0].dataType)
     return None

@@ -80,12 +80,13 @@ def test_in_windows_the_last_value_counts(spark):
     assert (row.m, row.s, row.r) == (8.0, 40.5, 36.0) and row.e == pytest.approx(e)
 
 
-@pytest.mark.parametrize("order", ["i", "t", "text"])
+@pytest.mark.parametrize("order", ["i", "t", "text", "day", "exact"])
 def test_whole_streams_need_no_single_task(spark, rows, order):
-    df = spark.createDataFrame(rows, "i long, k string, x double, y double, c boolean").selectExpr("*", "timestamp_millis(i * 7) as t", "lpad(i, 5, '0') as text")
+    df = spark.createDataFrame(rows, "i long, k string, x double, y double, c boolean").selectExpr("*", "timestamp_millis(i * 7) as t", "lpad(i, 5, '0') as text", "date_add(date'1969-12-01', cast(i as int)) as day", "cast(i / 3.0 - 20 as decimal(20, 6)) as exact")
     frame = StreamFrame.source(df, seq=order)
     names = ("avg", "sum", "count", "max", "min", "first", "last")
     out = sql("select i, " + ", ".join(f"{n}(x) as v_{n}" for n in names) + ", sum(max(y)) as nested from t", {"t": frame}).to_df()
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     got = {r.i: r for r in out.collect()}
     states, top, total = {}, None, 0.0
     for i, _, x, y, _ in rows:
