@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
 All but the last keep the columns of documents. Null texts count as empty; texts are read whole; repeated rows are copies of
 one document, of which the near-duplicate stage keeps one. Rows without id and rows of equal id and different text are documents
-of their own.
+of their own. An empty table passes through all stages as an empty one. Other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +26,17 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest id; rows without id come after all others. Groups are
     of texts alone: rows without id and rows that share an id stay unless their texts are near-copies."""
     # the key stands for a whole row; a flag for nulls keeps a value from counting for its neighbour's
-    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
-    groups = simhash.near_groups(docs.withColumn("__key", key), keep=("__key",))
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", F.col("__key").alias("key"))).alias("first"))
-    kept = common.stored(first.select(F.col("first.key").alias("__kept")), "pipeline-kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(*[x for c in names for x in (c, c.isNull())]).alias("key"), "doc_id", "text")
+    groups = simhash.near_groups(rows.select("doc_id", "text", F.col("key").alias("mark")), keep=("mark",))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("first"))
+    kept = common.stored(first.select(F.col("first.mark").alias("key")), "pipeline-kept")
     # kept has no bound, so it is never broadcast: the plan is the same at every size
-    rows = docs.withColumn("__key", key).join(kept.hint("merge"), F.col("__key") == F.col("__kept"), "left_semi")
-    again = common.stored(rows.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__key").alias("__again")), "pipeline-again")
-    once = rows.join(again.hint("merge"), F.col("__key") == F.col("__again"), "left_anti")
-    more = rows.join(again.hint("merge"), F.col("__key") == F.col("__again"), "left_semi").select(*docs.columns).distinct()
-    return once.select(*docs.columns).union(more)
+    rows = rows.select("row", "key").join(kept.hint("merge"), "key", "left_semi")
+    again = common.stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "pipeline-again")
+    once = rows.join(again.hint("merge"), "key", "left_anti").select("row")
+    more = rows.join(again.hint("merge"), "key", "left_semi").select("row").distinct()
+    return once.union(more).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def remove_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@
    combination it belongs to, so assignment is arithmetic on a plan of bounded size and no sequence is ever gathered.
 
 Defined results: null text counts as empty (one piece that holds only the end id); repeated rows are packed as often as they
-occur; an empty table gives no rows; a text of any length is handled whole.
+occur; rows without id are packed like others; other columns are ignored, whatever their names; an empty table gives no
+rows; a text of any length is handled whole.
 """
 
 from __future__ import annotations

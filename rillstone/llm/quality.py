@@ -6,7 +6,8 @@ bitwise aggregation what each rule of a policy removes alone, first and together
 an ablation reads the ledger only, never the texts.
 
 Defined results: null or empty text has no words: all measures are 0, it fails ``too_few_words`` and is not kept; texts are
-measured whole; repeated rows get equal rows in the ledger; extra columns are ignored.
+measured whole; repeated rows get equal rows in the ledger; extra columns are ignored, whatever their
+names; rows without id keep a row; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ distinct chunk is segmented once by the library and its ids are joined back by p
 whole text is given to the library instead. Decoding goes by the same table, as bytes of one character never span chunks.
 
 Defined results: null text counts as empty; an empty text gives begin and end ids only and decodes to the empty string;
-texts of any length are handled whole; repeated rows give repeated results.
+texts of any length are handled whole; repeated rows give repeated results; rows without id keep
+a row; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Vantage points and radii come from a bounded sample (``sample`` fingerprints); w
 serve as vantage points. Every fingerprint is indexed and searched.
 
 Defined results: null or empty text: fingerprint zero, linked like any other; repeated rows: equal fingerprints, one group;
-texts are never cut; an empty table gives no rows.
+a null id is a row of its own group of texts, whose component is the smallest id
+that is not null; other columns are ignored, whatever their names; texts are never cut; an empty table gives no rows.
 """
 
 from __future__ import annotations

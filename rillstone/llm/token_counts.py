@@ -9,7 +9,8 @@ A word is a run of characters other than ASCII white space. A word that can't be
 reads each word with the mark in front over the full vocabulary, so the mark alone is the first piece where no longer marked one
 fits, and only words with a character outside the vocabulary are unknown.
 
-Defined results: null or empty text: 0 words, 0 tokens; words of any length are read whole; repeated rows repeat.
+Defined results: null or empty text: 0 words, 0 tokens; words of any length are read whole; repeated rows repeat; rows without
+id keep a row; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

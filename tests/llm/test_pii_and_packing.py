@@ -215,13 +215,33 @@ def test_pipeline_stages(spark, data, odd_docs):
     assert len(ids) == len(set(ids)) and 5 not in ids and 7 not in ids and 1 not in ids and 15 not in ids
 
 
+def test_pipeline_stages_of_nothing(spark, data, no_docs):
+    import corpus_pipeline
+
+    docs = no_docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 as key", "2 as `row`", "3 as __key", "4 as c0", "5 as id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == 0
+
+
+def test_rows_without_id_are_packed(spark):
+    df = spark.createDataFrame([(None, "some text of it", 1, 2), (None, None, 1, 2), (3, "some text of it", 1, 2)], "doc_id long, text string, rest int, part int")
+    rows = packing.pack(df, BPE).collect()
+    by = {}
+    for r in rows:
+        by[r.doc_id] = by.get(r.doc_id, 0) + r.length
+    assert set(by) == {None, 3} and by[None] == by[3] + 1
+
+
 def test_groups_are_of_texts_not_of_ids(spark):
     import corpus_pipeline
 
     one, two, three, four = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(None, one, "en", None, None), (None, two, "en", "s", 1), (5, three, "en", None, None), (5, four, "en", None, None), (7, three, "en", None, None), (None, four, "fr", None, None), (5, four, "en", None, None), (None, one, "en", None, None), (None, one, None, "en", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as key", "2 as `row`", "3 as __key", "4 as id", "5 as `group`")
     got = corpus_pipeline.keep_one_of_each_group(spark, df, None).collect()
+    assert {tuple(r)[-5:] for r in got} == {(1, 2, 3, 4, 5)}
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, one), (None, two), (5, three), (5, four)], key=str)
 
 
