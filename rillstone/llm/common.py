@@ -46,6 +46,8 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
                 out = fn(part, state) if setup else fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        state = batch = part = out = None
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -205,13 +205,18 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
         chunks, rates = state
         texts = batch.column("text").to_pylist()
         lists = [words_of(t) for t in texts] if k else [[] for _ in texts]
-        at = chunks.lookup([w for x in lists for w in x]) if k else np.zeros(0, np.int64)
-        best, score = np.full(len(texts), k), np.zeros(len(texts))
+        del texts
+        lengths = [len(x) for x in lists]
+        at = chunks.lookup(list(chain.from_iterable(lists))) if k else np.zeros(0, np.int64)
+        del lists
+        best, score = np.full(len(lengths), k), np.zeros(len(lengths))
         if len(at):
-            values = chunks.flat.reshape(-1, k + 1)[at].astype(np.int64)
-            ends = np.cumsum([0, *map(len, lists)])
-            sums = np.concatenate([np.zeros((1, k + 1), np.int64), np.cumsum(values, axis=0)])
-            got = sums[ends[1:]] - sums[ends[:-1]]
+            values = chunks.flat.reshape(-1, k + 1)
+            ends = np.cumsum([0, *lengths])
+            got = np.zeros((len(lengths), k + 1), np.int64)
+            for i in range(k + 1):  # one column at a time: words are many, languages few
+                sums = np.concatenate([[0], np.cumsum(values[at, i], dtype=np.int64)])
+                got[:, i] = sums[ends[1:]] - sums[ends[:-1]]
             n = got[:, :1]
             fixed = np.maximum(0, (got[:, 1:] - n * rates) / (1 - rates))
             total = fixed.sum(axis=1)
