@@ -178,7 +178,9 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
     kept = [c for c in columns if replace_text or c != text_col]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     names = [f"c{i}" for i in range(len(kept))]  # by position, so that no name can clash
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).alias("text"))
+    text = names[kept.index(text_col)] if text_col in kept else "text"  # a kept text is not sent twice
+    more = [] if text in names else [F.col(text_col).alias(text)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], *more)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each 64 languages
     k = len(filters.languages)
     langs = np.array([*filters.languages, "und"], object)
@@ -203,7 +205,7 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
 
     def one(batch: pa.RecordBatch, state) -> pa.RecordBatch:
         chunks, rates = state
-        texts = batch.column("text").to_pylist()
+        texts = batch.column(text).to_pylist()
         lists = [words_of(t) for t in texts] if k else [[] for _ in texts]
         del texts
         lengths = [len(x) for x in lists]
@@ -226,7 +228,7 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
-    return map_text(rows, "text", one, f"{fields}, lang_pred string, score double", setup).toDF(*kept, "lang_pred", "score")
+    return map_text(rows, text, one, f"{fields}, lang_pred string, score double", setup).toDF(*kept, "lang_pred", "score")
 
 
 def held_out(id_col):
