@@ -6,6 +6,7 @@ n > 0 means the last n rows, n <= 0 all rows since the start; n must be a consta
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -153,6 +154,24 @@ def _filter(state, x, n):
     return (left - 1 if left > 0 else -1), False
 
 
+def _whole(known, a, b):
+    """a and b where known, else the map that keeps the state."""
+    return np.where(known, a, 1.0), np.where(known, b, 0.0)
+
+
+def _dma_map(x, a):
+    a = np.clip(a, 0.0, 1.0)
+    return 1 - a, a * x
+
+
+#: The same recurrences as maps state -> a * state + b of all rows but a series' first, from arrays of their arguments.
+MAPS = {
+    "dma": _dma_map,
+    "ema": lambda x, n: _whole(n != 0, (n - 1) / (n + 1), 2 * x / (n + 1)),
+    "mema": lambda x, n: _whole(n >= 1, (n - 1) / n, x / n),
+    "sma": lambda x, n, m: _whole(n > 0, (n - m) / n, m * x / n),
+}
+
 register(Function("dma", exact(D, D), D, "recurrence", "f"))
 register(Function("ema", exact(D, I), D, "recurrence", "f"))
 register(Function("mema", exact(D, I), D, "recurrence", "f"))

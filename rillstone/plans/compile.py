@@ -23,7 +23,8 @@ from ..functions.registry import Function, lookup
 from ..functions.series_ref import SeriesWindow
 from ..functions.stepping import step_of, zeros_for
 from ..types import FLOATS, INTS, NUMERIC, SPARK, literal_type, name_of
-from .prefix import Running, running
+from .affine import is_affine, starts
+from .prefix import BUCKET, Running, bucketed, running
 
 TIME = "@time"
 INDEX, BLOCK = "__rill_index", "__rill_block"
@@ -344,10 +345,24 @@ def _fold_columns(df: DataFrame, series: Series, calls: list[Fold]) -> tuple[Dat
 
 def fold(df: DataFrame, series: Series, calls: list[Fold]) -> DataFrame:
     """Adds the calls' values: rows of a series come to one task in order, and each call's state is carried from row to row,
-    also across batches, so memory does not grow with the series."""
+    also across batches, so memory does not grow with the series. Without keys, recurrences that are affine maps go by buckets
+    of the order, each of which starts from the state that the maps of the buckets before it lead to."""
+    maps, rest = ([], calls) if series.keys else ([c for c in calls if is_affine(c)], [c for c in calls if not is_affine(c)])
+    if maps and (made := bucketed(df, series.seq)) is not None:
+        work, _, args = _fold_columns(made, series, maps)
+        begin = starts(work, quoted(series.seq), maps, args)
+        work = work.join(F.broadcast(begin), BUCKET, "left").repartition(BUCKET).sortWithinPartitions(BUCKET, quoted(series.seq))
+        df = _stepped(work, [BUCKET], args, maps, begin.columns[1:]).drop(*begin.columns)
+        if not rest:
+            return df
+        calls = rest
     work, keys, args = _fold_columns(df, series, calls)
     work = work.repartition(*keys) if keys else work.coalesce(1)
-    work = work.sortWithinPartitions(*keys, quoted(series.seq))
+    return _stepped(work.sortWithinPartitions(*keys, quoted(series.seq)), keys, args, calls)
+
+
+def _stepped(work: DataFrame, keys: list[str], args: list[list[str]], calls: list[Fold], begin: list[str] = ()) -> DataFrame:
+    """work, sorted in partitions, with the calls' values. begin: for each call the column of the state before a key's first row."""
     out = T.StructType([*work.schema, *[T.StructField(c.name, SPARK[c.type]) for c in calls]])
     steppers = [Fold(c.name, c.namespace, c.function, c.zeros, [], c.type) for c in calls]
     types = to_arrow_types(steppers)
@@ -360,10 +375,11 @@ def fold(df: DataFrame, series: Series, calls: list[Fold]) -> DataFrame:
             # a NaN key is one key, though no NaN equals another
             owners = [tuple("NaN" if x != x else x for x in k) for k in zip(*[batch.column(k).to_pylist() for k in keys], strict=True)] if keys else [()] * batch.num_rows
             rows = [list(zip(*[batch.column(a).to_pylist() for a in names], strict=True)) for names in args]
+            first = [batch.column(b) for b in begin]
             made = [[] for _ in steppers]
             for i, owner in enumerate(owners):
                 if owner != at:
-                    at, states = owner, [None] * len(steppers)
+                    at, states = owner, [b[i].as_py() for b in first] or [None] * len(steppers)
                 for j, c in enumerate(steppers):
                     states[j], y = c.step(states[j], rows[j][i])
                     made[j].append(y)

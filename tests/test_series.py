@@ -97,3 +97,28 @@ def test_whole_streams_need_no_single_task(spark, rows, order):
         top = y if top is None or (y is not None and y > top) else top
         total += top or 0.0
         assert got[i].nested == pytest.approx(total)
+
+
+def test_recurrences_of_whole_streams_go_by_buckets(spark):
+    """Several rows a bucket, parameters by row, an infinity, ties of buckets' borders, and a stream of one row."""
+    rnd = random.Random(5)
+    rows = [(i * rnd.choice((1, 1, 40)), None if rnd.random() < 0.1 else rnd.gauss(0, 9), rnd.random() * 1.4 - 0.2, rnd.randrange(6), rnd.choice((0.0, 1.0, 2.5))) for i in range(3000)]
+    rows = sorted({r[0]: r for r in rows}.values())
+    rows[2500] = (rows[2500][0], math.inf, 0.5, 3, 1.0)
+    calls = {"dma": ("x", "a"), "ema": ("x", "n"), "mema": ("x", "n"), "sma": ("x", "n", "m")}
+    text = "select i, " + ", ".join(f"f.{f}({', '.join(a)}) as {f}" for f, a in calls.items()) + ", f.mema(f.ema(x, 9), 5) as nested from t"
+    for some in (rows, rows[:1]):
+        frame = StreamFrame.source(spark.createDataFrame(some, "i long, x double, a double, n long, m double").repartition(5), seq="i")
+        out = sql(text, {"t": frame}).to_df()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(some) == 1 or ("hashpartitioning(__bucket" in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0])
+        got, states, inner, outer = {r.i: r for r in out.collect()}, {}, None, None
+        assert len(got) == len(some)
+        for row in some:
+            values = dict(zip("ixanm", row, strict=True))
+            for f, names in calls.items():
+                states[f], want = step_of("f", f, (0.0,) * len(names), states.get(f), *[values[n] for n in names])
+                assert got[row[0]][f] == pytest.approx(want, rel=1e-9, abs=1e-9, nan_ok=True), (f, row)
+            inner, e = step_of("f", "ema", (0.0, 0), inner, values["x"], 9)
+            outer, want = step_of("f", "mema", (0.0, 0), outer, e, 5)
+            assert got[row[0]].nested == pytest.approx(want, rel=1e-9, abs=1e-9, nan_ok=True)
