@@ -49,17 +49,17 @@ class Service:
         return self.spark.createDataFrame([(action, True)], "action string, success boolean")
 
     def batches(self, text: str, size: int = 1000) -> Iterator[tuple[list[str], list] | Metrics]:
-        """A select's result for a prompt: (columns, rows) by batch, then the metrics, counted while it runs. The result comes
-        to the driver; large ones belong in a sink."""
+        """A select's result for a prompt or a client: (columns, rows) by batch, then the metrics, counted while it runs. The
+        driver holds one partition of the result at a time; a reader that stops early stops the rest."""
         began = int(time.time() * 1000)
-        counted: list = []
+        counted: list[str] = []
         df = plan(parse_select(text), lambda name, alias: self.source(name, alias, counted=counted)).to_df()
-        result = df.collect()
-        rows, n = iter(result), 0
+        rows, n = df.toLocalIterator(), 0
         while batch := list(islice(rows, size)):
             n += len(batch)
             yield df.columns, batch
-        yield Metrics(began, int(time.time() * 1000), sum(o.get["rows"] for o in counted), n)
+        seen = df._jdf.queryExecution().observedMetrics()
+        yield Metrics(began, int(time.time() * 1000), sum(seen.apply(name).getLong(0) for name in counted), n)
 
     def query(self, text: str) -> tuple[list, Metrics]:
         """A select's rows and metrics."""
@@ -69,13 +69,11 @@ class Service:
     def select(self, query: Select) -> StreamFrame:
         return plan(query, self.source)
 
-    def source(self, name: str, alias: str | None = None, streaming: bool = False, counted: list | None = None) -> StreamFrame:
+    def source(self, name: str, alias: str | None = None, streaming: bool = False, counted: list[str] | None = None) -> StreamFrame:
         d = self.catalog.get("source", name)
         df = readers.from_uri(self.spark, d["uri"], [tuple(c) for c in d["columns"]], streaming, place=not d.get("order"))
         if counted is not None:
-            from pyspark.sql import Observation
-
-            counted.append(Observation())
+            counted.append(f"source{len(counted)}")
             df = df.observe(counted[-1], F.count(F.lit(1)).alias("rows"))
         at = parse_expr(d["time"]) if d.get("time") else None
         return StreamFrame.source(df, time=at, seq=d.get("order"), qualifier=alias or name)
