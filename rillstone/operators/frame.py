@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import expr as E
 from ..errors import PlanError
 from ..plans.compile import TIME, Compiler, Field, Series, Typed, find, fields_of, is_stateful, quoted
+from ..plans.prefix import Carry
 from ..sources import order as places
 from .window import Window, drop_late, with_start
 
@@ -39,9 +40,10 @@ def _distinct(names: Sequence[str]) -> None:
 class StreamFrame:
     """A pipeline over a bounded or streaming DataFrame."""
 
-    def __init__(self, df: DataFrame, fields: Sequence[Field], keys: Sequence[str] = (), in_order: bool = False, ordered: bool = True, by_column: bool = True):
+    def __init__(self, df: DataFrame, fields: Sequence[Field], keys: Sequence[str] = (), in_order: bool = False, ordered: bool = True, by_column: bool = True, carry: Carry | None = None):
         self._df, self.fields, self._keys, self._in_order = df, list(fields), tuple(keys), in_order
         self._ordered, self.by_column = ordered, by_column  # whether there is an arrival order, and whether a column gives it
+        self._carry = carry  # of a batch of a stream: what the batches before left
 
     @staticmethod
     def source(df: DataFrame, time: E.Expr | None = None, seq: str | None = None, partition_by: Sequence[str] = (), qualifier: str | None = None, in_order: bool = False) -> "StreamFrame":
@@ -79,7 +81,7 @@ class StreamFrame:
 
     def renamed(self, qualifier: str | None) -> "StreamFrame":
         """The same rows under another qualifier, as a sub-query's alias gives them."""
-        return StreamFrame(self._df, [Field(f.name, f.type, qualifier, f.source) for f in self.fields], self._keys, self._in_order, self._ordered, self.by_column)
+        return StreamFrame(self._df, [Field(f.name, f.type, qualifier, f.source) for f in self.fields], self._keys, self._in_order, self._ordered, self.by_column, self._carry)
 
     # -- operators ---------------------------------------------------------------------------------------------------
 
@@ -105,7 +107,7 @@ class StreamFrame:
         items = self._expand(exprs)
         names = [e.output_name() for e in items]
         _distinct(names)
-        c = Compiler(self.fields, "running", self._series(), self._df.isStreaming)
+        c = Compiler(self.fields, "running", self._series(), self._df.isStreaming, self._carry)
         typed = [c.compile(e) for e in items]
         if c.needs_order:
             self._need_order()
@@ -113,20 +115,20 @@ class StreamFrame:
         out = df.select(*[t.column.alias(n) for t, n in zip(typed, names, strict=True)], SEQ, *self._keys)
         qualifiers = [find(self.fields, e.name, e.qualifier).qualifier if isinstance(e, E.Column) else None for e in items]
         kept = self._in_order and all(isinstance(e, E.Column) for e, n in zip(items, names, strict=True) if n.lower() == TIME)
-        return StreamFrame(out, [Field(n, t.type, q) for n, t, q in zip(names, typed, qualifiers, strict=True)], self._keys, kept, self._ordered, self.by_column)
+        return StreamFrame(out, [Field(n, t.type, q) for n, t, q in zip(names, typed, qualifiers, strict=True)], self._keys, kept, self._ordered, self.by_column, self._carry)
 
     def filter(self, predicate) -> "StreamFrame":
         """Rows for which the predicate is true; top-level conjuncts stay apart so that they can be pushed down."""
         df = self._df
         if is_stateful(predicate):
-            c = Compiler(self.fields, "running", self._series(), self._df.isStreaming)
+            c = Compiler(self.fields, "running", self._series(), self._df.isStreaming, self._carry)
             t = self._boolean(c.compile(predicate))
             self._need_order()
             df = c.apply(df).where(t.column).select(*df.columns)
         else:
             for part in _conjuncts(predicate):
                 df = df.where(self._boolean(Compiler(self.fields, "scalar").compile(part)).column)
-        return StreamFrame(df, self.fields, self._keys, self._in_order, self._ordered, self.by_column)
+        return StreamFrame(df, self.fields, self._keys, self._in_order, self._ordered, self.by_column, self._carry)
 
     def _need_order(self) -> None:
         if not self._ordered:

@@ -24,7 +24,7 @@ from ..functions.series_ref import SeriesWindow
 from ..functions.stepping import step_of, zeros_for
 from ..types import FLOATS, INTS, NUMERIC, SPARK, literal_type, name_of
 from .affine import is_affine, starts
-from .prefix import BUCKET, Running, bucketed, running
+from .prefix import BUCKET, Carry, Running, bucketed, running
 
 TIME = "@time"
 INDEX, BLOCK = "__rill_index", "__rill_block"
@@ -142,8 +142,8 @@ class Fold:
 class Compiler:
     """Compiles the expressions of one operator; apply() adds the helper columns they need."""
 
-    def __init__(self, fields: Sequence[Field], context: str, series: Series | None = None, streaming: bool = False):
-        self.fields, self.context, self.series, self.streaming = list(fields), context, series, streaming
+    def __init__(self, fields: Sequence[Field], context: str, series: Series | None = None, streaming: bool = False, carry: Carry | None = None):
+        self.fields, self.context, self.series, self.streaming, self.carry = list(fields), context, series, streaming, carry
         self.helpers: dict[int, dict[str, Column]] = {}
         self.folds: dict[int, list[Fold]] = {}
         self.whole: dict[int, list[Running]] = {}  # aggregates over a whole stream
@@ -321,7 +321,7 @@ class Compiler:
             df = self._numbered(df)
         for level in sorted({*self.helpers, *self.folds, *self.whole}):
             if level in self.whole:
-                df = running(df, self.series.seq, self.whole[level])
+                df = running(df, self.series.seq, self.whole[level], carry=self.carry)
             if level in self.helpers:
                 df = df.withColumns(self.helpers[level]) if self.series.keys else in_blocks(df, self.helpers[level], self.lookback.get(level, 0))
             if level in self.folds:

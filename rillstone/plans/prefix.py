@@ -10,15 +10,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..sources import order as places
 
 #: Least and most buckets that an order is cut into, and the rows aimed at in each: a table of MOST_BUCKETS rows is a few MB.
 BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 256, 200_000, 500_000
 BUCKET = "__bucket"
+#: The bucket of what earlier batches of a stream left; rows without an order are in bucket -1.
+EARLIER = -2
 
 
 @dataclass
@@ -91,13 +94,43 @@ def _combined(r: Running, before: dict[str, Column], own: dict[str, Column]) ->
     return F.coalesce(before["v"], own["v"]) if r.function == "first" else F.coalesce(own["v"], before["v"])
 
 
-def running(df: DataFrame, seq: str, calls: list[Running], buckets: int = BUCKETS) -> DataFrame:
-    """df with the running aggregates over all rows up to each one in order of seq."""
+def _total(r: Running, c: Column) -> Column:
+    """A part over all buckets."""
+    if r.function in ("first", "last"):
+        return (F.min_by if r.function == "first" else F.max_by)(c, F.when(c.isNotNull(), F.col(BUCKET)))
+    return {"max": F.max, "min": F.min}.get(r.function, F.sum)(c)
+
+
+class Carry:
+    """What the running aggregates of a stream hold after each of its batches, in a folder: one row for each call of ``running``.
+    Folders are named by batch, so a repeated batch reads what it read before."""
+
+    def __init__(self, spark: SparkSession, path: str, batch: int):
+        self.spark, self.path, self.batch, self._n = spark, path.rstrip("/"), batch, 0
+
+    def through(self, tops: DataFrame, totals: list[Column]) -> DataFrame:
+        """The buckets' parts after those of the batches before; what this batch leaves is written."""
+        at, n = f"{self.path}/batch={self.batch}", self._n
+        self._n += 1
+        if self.batch:
+            tops = tops.unionByName(self.spark.read.schema(tops.schema).parquet(f"{self.path}/batch={self.batch - 1}/left{n}"))
+        tops.write.mode("overwrite").parquet(f"{at}/tops{n}")
+        tops = self.spark.read.schema(tops.schema).parquet(f"{at}/tops{n}")
+        tops.agg(*totals).withColumn(BUCKET, F.lit(EARLIER)).write.mode("overwrite").parquet(f"{at}/left{n}")
+        storage.remove(self.spark, f"{self.path}/batch={self.batch - 3}")
+        return tops
+
+
+def running(df: DataFrame, seq: str, calls: list[Running], buckets: int = BUCKETS, carry: Carry | None = None) -> DataFrame:
+    """df with the running aggregates over all rows up to each one in order of seq. carry: df is a batch of a stream, whose values
+    go on from those of the batches before."""
     args = {f"__x_{r.name}": r.arg for r in calls}
     made = bucketed(df, seq, buckets)
     order = F.col(seq)
     upto = (Window.unboundedPreceding, Window.currentRow)
     parts = [_parts(r, order, F.col(f"__x_{r.name}")) for r in calls]
+    if made is None and carry is not None:
+        made = df.withColumn(BUCKET, F.lit(0))
     if made is None:
         work = df.withColumns(args)
         w = Window.orderBy(order).rowsBetween(*upto)
@@ -107,6 +140,8 @@ def running(df: DataFrame, seq: str, calls: list[Running], buckets: int = BUCKET
     work = made.withColumns(args)
     names = [{k: f"__{k}_{r.name}" for k in p} for r, p in zip(calls, parts, strict=True)]
     tops = work.groupBy(BUCKET).agg(*[p[0].alias(n[k]) for n, own in zip(names, parts, strict=True) for k, p in own.items()])
+    if carry is not None:
+        tops = carry.through(tops, [_total(r, F.col(c)).alias(c) for r, n in zip(calls, names, strict=True) for c in n.values()])
     earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before = tops.select(BUCKET, *[p[1](F.col(n[k])).over(earlier).alias(n[k]) for n, own in zip(names, parts, strict=True) for k, p in own.items()])
     w = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(*upto)

@@ -1,6 +1,8 @@
 """Continuous queries on Structured Streaming.
 
-Projections and filters, also with running functions (kept in Spark's state store), run as one streaming query.
+Projections and filters, also with running functions (kept in Spark's state store), run as one streaming query. Where all that is
+stateful are aggregates along one series of all rows, each micro-batch is handled like a bounded table, in buckets of its order,
+and goes on from one row that the batch before left beside the checkpoint, so no task sees a batch whole.
 
 A windowed aggregate runs exactly as over a bounded table: rows are late against a watermark that rises with every row, and a
 window closes when the watermark has passed its end. Each micro-batch merges the partial aggregates of open windows, written
@@ -25,7 +27,9 @@ from .. import storage
 from ..operators.frame import SEQ, StreamFrame
 from ..sources import order as places
 from ..operators.window import Window, end_of, running_max, with_start
+from ..functions.registry import lookup
 from ..plans.compile import TIME, Compiler, Field, Series, find, quoted
+from ..plans.prefix import Carry
 from ..sources.sinks import Sink
 from ..sql.parser import Select
 from ..sql.planner import plan
@@ -38,6 +42,17 @@ def aggregate_of(query: Select) -> Select | None:
     return query if query.window is not None else None
 
 
+def kinds_of(query: Select) -> set[str]:
+    """The kinds of the functions that a select calls."""
+
+    def kinds(e: E.Expr) -> set[str]:
+        own = {lookup(e.namespace, e.name).kind} if isinstance(e, E.Call) else set()
+        return own.union(*map(kinds, E.children(e)))
+
+    below = kinds_of(query.source.query) if query.source.query is not None else set()
+    return below.union(*map(kinds, [*query.items, *(e for e in (query.where, query.having) if e is not None)]))
+
+
 class WindowState:
     """What one streaming aggregate holds after each batch, in a folder: groups of open windows, and the watermark."""
 
@@ -163,6 +178,19 @@ def start(query: Select, sources: Callable[[str, str | None], StreamFrame], sink
         frame = plan(query, sources)
         df = frame.to_df()
         send = lambda batch, number: sink.send(batch, number)
+        spark = df.sparkSession
+        # a checkpoint with a state store is of a query that was begun with it and goes on with it
+        if not frame._keys and kinds_of(query) - {"scalar"} == {"aggregate"} and not storage.exists(spark, f"{checkpoint.rstrip('/')}/state"):
+            leaf = query
+            while leaf.source.query is not None:
+                leaf = leaf.source.query
+            below = sources(leaf.source.name, leaf.source.alias)
+            df = below._df
+
+            def send(batch: DataFrame, number: int) -> None:
+                carry = Carry(spark, f"{checkpoint.rstrip('/')}/running", number)
+                rows = StreamFrame(numbered(batch, number, below.by_column), below.fields, by_column=below.by_column, carry=carry)
+                sink.send(plan(query, lambda name, alias: rows).to_df(), number)
     else:
         base = Select([E.Wildcard()], inner.source, inner.where)
         below = plan(base, sources)

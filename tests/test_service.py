@@ -176,3 +176,22 @@ def test_prompt(spark, tmp_path):
     run(s, "select", out.append)
     assert "create source" in out[0] and "│ 25 │" in out[1] and out[2].startswith("Input 26 rows, output 2 rows, done in ")
     assert out[3] == "error: not such column: nosuch" and out[4].startswith("error: expected")
+
+
+def test_whole_stream_aggregates_go_on_from_one_row(spark, tmp_path):
+    """Running aggregates, also nested ones, of a stream without keys: no state store, whose one group is one task; a batch goes on from
+    the row that the one before left."""
+    folder, kept, check = tmp_path / "in", Kept(), tmp_path / "checkpoint"
+    folder.mkdir()
+    find = lambda name, alias: StreamFrame.source(
+        spark.readStream.schema("time long, a long, b string, c string").csv(str(folder)), time=col("time"), seq="a", qualifier=alias or name
+    )
+    text = "select a, count(b) as n, sum(a) as s, avg(a) as m, max(a) as hi, min(a) as lo, first(c) as f, last(a) as l, sum(avg(a)) as deep from bars where count(a) > 1"
+    for i, lines in enumerate((LINES[:1], LINES[1:20], LINES[20:])):  # the first batch has one row: its order can't be cut
+        (folder / f"{i}.csv").write_text("\n".join(lines))
+        runtime.start(P.parse_select(text), find, kept, str(check), f"whole{i}", once=True).awaitTermination(120)
+    assert not (check / "state").exists() and sorted(x.name for x in (check / "running").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    df = spark.read.schema("time long, a long, b string, c string").csv(str(folder))
+    bounded = StreamFrame.source(df, time=col("time"), seq="a")
+    want = runtime.plan(P.parse_select(text), lambda name, alias: bounded.renamed(alias or name)).to_df().collect()
+    assert len(kept.rows) == len(want) == 25 and sorted(kept.rows) == sorted(want)
