@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,14 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         at = stop
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
-    """``mapInArrow`` over bounded slices. ``setup()`` runs once per task and its value is handed to ``fn`` as second argument."""
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices of about ``limit`` bytes. ``setup()`` runs once per task and its value is handed to ``fn`` as second argument."""
 
     def run(batches):
         held_of_stage()
         state = setup() if setup else None
         for batch in batches:
-            for part in text_slices(batch, column):
+            for part in text_slices(batch, column, limit):
                 out = fn(part, state) if setup else fn(part)
                 if out is not None and out.num_rows:
                     yield out
@@ -90,16 +89,41 @@ def held(key, make: Callable):
 
 
 class Ordinals(dict):
-    """Gives each distinct key the next integer."""
+    """Gives each distinct key the next integer; ``fresh`` lists the keys seen first since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
 
     def __missing__(self, key):
         self[key] = value = len(self)
+        self.fresh.append(key)
         return value
 
     def of(self, keys: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
 
 
+class Growing:
+    """An array that grows at its end; room is kept, so that small additions don't copy the whole."""
+
+    def __init__(self, dtype):
+        self._room, self._n = np.zeros(1024, dtype), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._room[: self._n]
+
+    def add(self, more: np.ndarray) -> None:
+        n = self._n + len(more)
+        if n > len(self._room):
+            room = np.empty(max(n, len(self._room) * 5 // 4), self._room.dtype)
+            room[: self._n] = self.values
+            self._room = room
+        self._room[self._n : n] = more
+        self._n = n
+
+
 class ChunkTable:
     """Distinct chunks, each encoded once; values are joined back to positions by gathering.
 
@@ -112,25 +136,37 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.flat = Ordinals(), np.zeros(0, self.dtype)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.index = Ordinals()
+        self._flat, self._starts, self._lengths = Growing(self.dtype), Growing(np.int64), Growing(np.int64)
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat.values
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._starts.values
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._lengths.values
 
     def lookup(self, chunks: list) -> np.ndarray:
         """Ordinals of the chunks; unseen ones are encoded."""
         if len(self.index) > self.limit:
             self.clear()
-        before = len(self.index)
         at = self.index.of(chunks)
-        if len(self.index) > before:
-            values = self.encode(list(islice(self.index, before, None)))
+        if self.index.fresh:
+            values = self.encode(self.index.fresh)
+            self.index.fresh = []
             if isinstance(values, np.ndarray):
                 lengths, flat = np.full(len(values), values.shape[1]), values.ravel()
             else:
                 lengths = np.fromiter(map(len, values), np.int64, len(values))
                 flat = np.concatenate([np.asarray(v, self.dtype) for v in values]) if lengths.sum() else np.zeros(0, self.dtype)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, flat])
+            self._starts.add(len(self._flat.values) + np.cumsum(lengths) - lengths)
+            self._lengths.add(lengths)
+            self._flat.add(flat)
         return at
 
     def gather(self, at: np.ndarray) -> np.ndarray:
@@ -138,7 +174,7 @@ class ChunkTable:
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
+        return self._flat.values[np.repeat(self._starts.values[at] - (ends - lengths), lengths) + np.arange(total)]
 
 
 def rebuilt(df: DataFrame, columns: list, column: str, extra: dict, fn: Callable[[list, pa.RecordBatch], list]) -> DataFrame:

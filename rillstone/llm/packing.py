@@ -36,6 +36,9 @@ SLACK = 8
 #: Sequence ids of full windows start here; those of combinations start at 0.
 FULL_BASE = 1 << 50
 
+#: Bytes of text handled at once, and distinct chunks held: with more, the two workers of an executor leave too little room.
+SLICE_BYTES, TABLE_CHUNKS = 1_000_000, 600_000
+
 GAP = b"\x01"
 #: Punctuation at the end of a chunk, after a letter or digit: the tokenizer never joins the two, so they are chunks of their own.
 TRAIL = re.compile(rb"([.,!?;:#$%&*|](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:#$%&*|]*)(?=[\x20\x09-\x0D]|\Z)")
@@ -54,7 +57,7 @@ class Tokens:
         self.specials = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         gap = self.tokenizer.encode(f"a {GAP.decode()} a", add_special_tokens=False).ids
         self.gap = gap[1:2] if len(gap) == 3 and gap[1] != gap[0] == gap[2] else []
-        self.table = ChunkTable(self._encode, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32, limit=800_000)
+        self.table = ChunkTable(self._encode, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32, limit=TABLE_CHUNKS)
 
     def _encode(self, chunks: list[bytes]) -> list:
         """One library call for all new chunks, kept apart by a control character whose id no other character can give."""
@@ -122,7 +125,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
         kinds = {"full_crcs": pa.list_(pa.int64()), "power_crcs": pa.list_(pa.int64())}
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([part] * len(counts), pa.int64()), *[pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()]], ["id", "part", *rows])
 
-    return map_text(text_rows(docs), "text", one, "id long, part long, doc_tokens long, rest long, rest_crc long, full_crcs array<long>, power_crcs array<long>, rank long, full_rank long", setup)
+    return map_text(text_rows(docs), "text", one, "id long, part long, doc_tokens long, rest long, rest_crc long, full_crcs array<long>, power_crcs array<long>, rank long, full_rank long", setup, SLICE_BYTES)
 
 
 def combinations(lengths: np.ndarray, window: int, spread: int = 12) -> list[np.ndarray]:

@@ -250,3 +250,38 @@ def test_pipeline_run(spark, data):
 
     rows = corpus_pipeline.run(spark, data).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_tokenizing_holds_small_slices_and_few_chunks(monkeypatch):
+    """Two workers share an executor's memory with the JVM: about a megabyte of text at once, and a table that grows in place."""
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    seen = []
+
+    class Tokens:
+        def run(self, texts):
+            seen.append(sum(map(len, texts)))
+            return np.zeros(len(texts), np.uint16), np.ones(len(texts), np.int64)
+
+    made = []
+    monkeypatch.setattr(packing, "text_rows", lambda docs: SimpleNamespace(mapInArrow=lambda run, schema: made.append(run)))
+    monkeypatch.setattr(packing, "held", lambda key, make: Tokens())
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.tokenized(None, "")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(["x" * 100_000] * 40)], ["id", "text"])
+    assert sum(b.num_rows for b in made[0](iter([batch]))) == 40
+    assert sum(seen) == 4_000_000 and max(seen) <= 1_000_000
+
+
+def test_chunk_table_grows_and_empties():
+    from rillstone.llm.common import ChunkTable
+    import numpy as np
+
+    table = ChunkTable(lambda chunks: [[len(c), *c] for c in chunks], np.uint16, limit=2000)
+    for i in range(40):
+        chunks = [b"%d" % (k % (50 * i + 7)) for k in range(300)] + [b"", b"a" * i]
+        at = table.lookup(chunks)
+        assert table.gather(at).tolist() == [v for c in chunks for v in (len(c), *c)]
+        assert table.lengths[at].tolist() == [len(c) + 1 for c in chunks] and len(table.starts) == len(table.index) <= 2302
