@@ -69,7 +69,7 @@ class StreamFrame:
         if seq:
             order = quoted(find(fields, seq, None).source)
         elif places.PLACE in df.columns:
-            order = places.as_text(F.col(places.PLACE)) if df.isStreaming else F.col(places.PLACE)
+            order = F.col(places.PLACE)
         elif df.isStreaming:
             order, ordered = F.lit(None).cast("long"), False
         else:

@@ -22,6 +22,7 @@ from ..errors import PlanError
 from ..functions.registry import Function, lookup
 from ..functions.series_ref import SeriesWindow
 from ..functions.stepping import step_of, zeros_for
+from ..sources import order as places
 from ..types import FLOATS, INTS, NUMERIC, SPARK, literal_type, name_of
 from .affine import is_affine, starts
 from .prefix import BUCKET, Carry, Running, bucketed, running
@@ -396,6 +397,8 @@ def to_arrow_types(calls: list[Fold]) -> list:
 
 def fold_stream(df: DataFrame, series: Series, calls: list[Fold]) -> DataFrame:
     """The same on a stream: the states of a series are kept in Spark's state store from batch to batch."""
+    if places.is_place(df.schema[series.seq].dataType):  # pandas sorts texts, not structs
+        df = df.withColumn(series.seq, places.as_text(F.col(series.seq)))
     work, keys, args = _fold_columns(df, series, calls)
     if not keys:
         work, keys = work.withColumn("__rill_key0", F.lit(0)), ["__rill_key0"]

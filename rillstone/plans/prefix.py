@@ -51,8 +51,8 @@ def _coarse(c: Column, kind: T.DataType) -> Column | None:
     return None
 
 
-def bucketed(df: DataFrame, seq: str, buckets: int = BUCKETS) -> DataFrame | None:
-    """df with the bucket of each row; None if the order can't be cut."""
+def bucketed(df: DataFrame, seq: str, buckets: int = BUCKETS, span: tuple[int, int] | None = None) -> DataFrame | None:
+    """df with the bucket of each row; None if the order can't be cut. span: the least and the greatest order, where they are known."""
     kind = df.schema[seq].dataType
     if places.is_place(kind):  # rows of files are numbered, so buckets are even
         numbers, rows = places.numbered(df, F.struct(F.col(seq)["time"], F.col(seq)["path"]), F.col(seq)["row"], BUCKET)
@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, seq: str, buckets: int = BUCKETS) -> DataFrame | Non
     coarse = _coarse(F.col(seq), kind)
     if coarse is None:
         return None
-    low, high, rows = df.agg(F.min(coarse), F.max(coarse), F.count(F.lit(1))).first()
+    low, high, rows = (*span, span[1] - span[0] + 1) if span else df.agg(F.min(coarse), F.max(coarse), F.count(F.lit(1))).first()
     if low is None or high == low:
         return None
     width = (high - low) // min(MOST_BUCKETS, max(buckets, rows // BUCKET_ROWS)) + 1
@@ -103,10 +103,11 @@ def _total(r: Running, c: Column) -> Column:
 
 class Carry:
     """What the running aggregates of a stream hold after each of its batches, in a folder: one row for each call of ``running``.
-    Folders are named by batch, so a repeated batch reads what it read before."""
+    Folders are named by batch, so a repeated batch reads what it read before. span: the least and the greatest order of the batch's
+    rows, where they were numbered."""
 
-    def __init__(self, spark: SparkSession, path: str, batch: int):
-        self.spark, self.path, self.batch, self._n = spark, path.rstrip("/"), batch, 0
+    def __init__(self, spark: SparkSession, path: str, batch: int, span: tuple[int, int] | None = None):
+        self.spark, self.path, self.batch, self.span, self._n = spark, path.rstrip("/"), batch, span, 0
 
     def through(self, tops: DataFrame, totals: list[Column]) -> DataFrame:
         """The buckets' parts after those of the batches before; what this batch leaves is written."""
@@ -125,7 +126,7 @@ def running(df: DataFrame, seq: str, calls: list[Running], buckets: int = BUCKET
     """df with the running aggregates over all rows up to each one in order of seq. carry: df is a batch of a stream, whose values
     go on from those of the batches before."""
     args = {f"__x_{r.name}": r.arg for r in calls}
-    made = bucketed(df, seq, buckets)
+    made = bucketed(df, seq, buckets, carry.span if carry is not None else None)
     order = F.col(seq)
     upto = (Window.unboundedPreceding, Window.currentRow)
     parts = [_parts(r, order, F.col(f"__x_{r.name}")) for r in calls]

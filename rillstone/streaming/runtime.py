@@ -188,8 +188,9 @@ def start(query: Select, sources: Callable[[str, str | None], StreamFrame], sink
             df = below._df
 
             def send(batch: DataFrame, number: int) -> None:
-                carry = Carry(spark, f"{checkpoint.rstrip('/')}/running", number)
-                rows = StreamFrame(numbered(batch, number, below.by_column), below.fields, by_column=below.by_column, carry=carry)
+                batch, span = numbered(batch, number, below.by_column)
+                carry = Carry(spark, f"{checkpoint.rstrip('/')}/running", number, span)
+                rows = StreamFrame(batch, below.fields, by_column=below.by_column, carry=carry)
                 sink.send(plan(query, lambda name, alias: rows).to_df(), number)
     else:
         base = Select([E.Wildcard()], inner.source, inner.where)
@@ -199,20 +200,27 @@ def start(query: Select, sources: Callable[[str, str | None], StreamFrame], sink
         steps = WindowedBatches(below, inner, WindowState(spark, f"{checkpoint.rstrip('/')}/windows"))
 
         def send(batch: DataFrame, number: int) -> None:
-            done = steps.step(numbered(batch, number, below.by_column), number)
+            done = steps.step(numbered(batch, number, below.by_column)[0], number)
             sink.send(_rest(query, inner, StreamFrame(done, steps.out_fields)).to_df(), number)
 
     writer = df.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(send)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def numbered(batch: DataFrame, number: int, own: bool) -> DataFrame:
+def numbered(batch: DataFrame, number: int, own: bool) -> tuple[DataFrame, tuple[int, int] | None]:
     """The batch with an arrival order that continues from earlier batches, where no column of the source gives it: files go by
-    time, path and place, other sources by the order of the batch's partitions."""
-    kind = batch.schema[SEQ].dataType.typeName()
-    if kind == "string" and not own:
-        return places.numbered(batch, places.file_of(F.col(SEQ)), places.row_of(F.col(SEQ)), "__at")[0].withColumn(SEQ, F.lit(number << 44) + F.col("__at")).drop("__at")
-    return batch if own else batch.withColumn(SEQ, F.lit(number << 44) + F.monotonically_increasing_id())
+    time, path and place, other sources by the order of the batch's partitions. Also the least and the greatest order, if known."""
+    if own:
+        return batch, None
+    kind, seq, base = batch.schema[SEQ].dataType, F.col(SEQ), number << 44
+    if places.is_place(kind):
+        file, row = F.struct(seq["time"], seq["path"]), seq["row"]
+    elif isinstance(kind, T.StringType):  # a place that went through the state store
+        file, row = places.file_of(seq), places.row_of(seq)
+    else:
+        return batch.withColumn(SEQ, F.lit(base) + F.monotonically_increasing_id()), None
+    made, rows = places.numbered(batch, file, row, "__at")
+    return made.withColumn(SEQ, F.lit(base) + F.col("__at")).drop("__at"), (base, base + rows - 1) if rows else None
 
 
 def finish(query: Select, sources: Callable[[str, str | None], StreamFrame], sink: Sink, checkpoint: str) -> None:
