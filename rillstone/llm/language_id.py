@@ -43,6 +43,8 @@ SLOTS = 1 << 21
 PROBES = 4
 #: Words whose grams are looked up at once.
 BLOCK = 20_000
+#: Prediction: bytes of text handled at once, and distinct words held: with more, the two workers of an executor leave too little room.
+SLICE_BYTES, TABLE_WORDS = 1_000_000, 200_000
 #: Exact in texts that hold none of ODD, and much faster there.
 WORD = re.compile(r"[^\W\d_]+")
 EXACT = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -117,7 +119,8 @@ class Filters:
     def __init__(self, languages: list[str], slots: int = SLOTS):
         self.languages = languages
         self.slots = slots
-        self.bits = np.zeros((-(-len(languages) // 64) or 1, slots), np.uint64)
+        self.kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * t().itemsize), np.uint64)  # no wider than the languages need
+        self.bits = np.zeros((-(-len(languages) // 64) or 1, slots), self.kind)
 
     def places(self, grams: np.ndarray) -> list[np.ndarray]:
         step = (grams >> np.uint64(32)) | np.uint64(1)
@@ -125,7 +128,7 @@ class Filters:
 
     def add(self, language: int, grams: np.ndarray) -> None:
         for at in self.places(grams):
-            self.bits[language // 64, at] |= np.uint64(1 << language % 64)
+            self.bits[language // 64, at] |= self.kind(1 << language % 64)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         places = self.places(grams)
@@ -136,10 +139,10 @@ class Filters:
 
     def hits(self, masks: np.ndarray) -> np.ndarray:
         """A row for each gram, a column for each language."""
-        return np.stack([(masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(len(self.languages))], 1).astype(np.int32)
+        return np.stack([(masks[i // 64] >> self.kind(i % 64)) & self.kind(1) for i in range(len(self.languages))], 1).astype(np.int32)
 
     def false_rates(self) -> np.ndarray:
-        fill = [int(np.bitwise_count(self.bits[i // 64] & np.uint64(1 << i % 64)).sum()) / self.slots for i in range(len(self.languages))]
+        fill = [int(np.bitwise_count(self.bits[i // 64] & self.kind(1 << i % 64)).sum()) / self.slots for i in range(len(self.languages))]
         return np.array(fill) ** PROBES
 
 
@@ -181,13 +184,13 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
     text = names[kept.index(text_col)] if text_col in kept else "text"  # a kept text is not sent twice
     more = [] if text in names else [F.col(text_col).alias(text)]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], *more)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each 64 languages, bytes for up to 8
     k = len(filters.languages)
     langs = np.array([*filters.languages, "und"], object)
+    rates = filters.false_rates() if k else np.zeros(0)
 
     def setup():
         f = shared.value
-        rates = f.false_rates() if k else np.zeros(0)
 
         def encode(words):
             """For each word its number of grams and how many of them each language holds."""
@@ -201,10 +204,9 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
                     part[:, 1:] += sums[end] - sums[begin]
             return total
 
-        return ChunkTable(encode, np.int32), rates
+        return ChunkTable(encode, np.int32, TABLE_WORDS)
 
-    def one(batch: pa.RecordBatch, state) -> pa.RecordBatch:
-        chunks, rates = state
+    def one(batch: pa.RecordBatch, chunks: ChunkTable) -> pa.RecordBatch:
         texts = batch.column(text).to_pylist()
         lists = [words_of(t) for t in texts] if k else [[] for _ in texts]
         del texts
@@ -228,7 +230,7 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], text_col: str
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
-    return map_text(rows, text, one, f"{fields}, lang_pred string, score double", setup).toDF(*kept, "lang_pred", "score")
+    return map_text(rows, text, one, f"{fields}, lang_pred string, score double", setup, SLICE_BYTES).toDF(*kept, "lang_pred", "score")
 
 
 def held_out(id_col):

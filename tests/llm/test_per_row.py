@@ -358,3 +358,24 @@ def test_filters_hold_what_was_added():
         f.add(i, g)
     assert all(f.hits(f.masks(g))[:, i].all() for i, g in enumerate(grams))
     assert f.hits(f.masks(rnd.integers(0, 1 << 63, 5000).astype(np.uint64))).mean() < 0.01
+
+
+@pytest.mark.parametrize(("languages", "bits"), [(0, 8), (4, 8), (8, 8), (9, 16), (17, 32), (33, 64), (65, 64)])
+def test_filters_are_as_wide_as_the_languages_need(languages, bits):
+    import numpy as np
+
+    f = language_id.Filters([f"l{i}" for i in range(languages)], slots=1 << 12)
+    assert f.bits.itemsize * 8 == bits
+    grams = np.random.default_rng(2).integers(0, 1 << 63, (languages, 9)).astype(np.uint64)
+    for i, g in enumerate(grams):
+        f.add(i, g)
+    assert all(f.hits(f.masks(g))[:, i].all() for i, g in enumerate(grams))
+    assert (f.false_rates() > 0).all() and len(f.false_rates()) == languages
+
+
+def test_prediction_holds_small_slices_and_few_words(spark, docs, monkeypatch):
+    """Two workers share an executor's memory with the JVM: about a megabyte of text at once."""
+    seen = []
+    monkeypatch.setattr(language_id, "map_text", lambda rows, column, fn, schema, setup=None, limit=4_000_000: seen.append((limit, setup().limit)) or rows.selectExpr("c0", "'' as p", "0D as s"))
+    language_id.predict(docs, language_id.Filters(["a", "b"]), ["doc_id"])
+    assert seen == [(1_000_000, 200_000)]
